@@ -8,10 +8,11 @@ aggregation over it; ROC running sums use the skew-safe ordered scan.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.special import mcnemar_exact_udf
 from .describe import scalars
@@ -27,18 +28,22 @@ def _vec(col: str) -> Column:
 def class_centroids(df: DataFrame, vec: str, label: str) -> list[tuple[str, list[float]]]:
     """Mean vector per class, sorted by label; a model-sized result (k x d).
 
-    The averaging runs on Spark (partial aggregation per task); only k rows of
-    d means reach the driver, and k x d is checked against a bound.
+    ``Summarizer.mean`` aggregates vectors per class on Spark (partial
+    aggregation per task); only k mean vectors reach the driver, and k x d is
+    checked against a bound.
     """
-    e = df.select(F.col(label).cast("string").alias("lab"),
-                  F.posexplode(_vec(vec)).alias("pos", "x"))
-    means = e.groupBy("lab", "pos").agg(F.avg("x").alias("m"))
-    per = means.groupBy("lab").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("c"))
-    shape = per.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("c")).alias("d")).first()
-    if shape["k"] * shape["d"] > MAX_MODEL_CELLS:
-        raise ValueError(f"centroid model too large: {shape['k']} x {shape['d']}")
-    rows = per.orderBy("lab").collect()
-    return [(r["lab"], [float(s["m"]) for s in r["c"]]) for r in rows]
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    v = F.col(vec)
+    if isinstance(df.schema[vec].dataType, T.ArrayType):
+        v = array_to_vector(_vec(vec))
+    per = df.select(F.col(label).cast("string").alias("lab"), v.alias("__v")) \
+            .groupBy("lab").agg(Summarizer.mean(F.col("__v")).alias("c"))
+    rows = per.limit(MAX_MODEL_CELLS + 1).collect()
+    k, d = len(rows), (len(rows[0]["c"]) if rows else 0)
+    if k * d > MAX_MODEL_CELLS:
+        raise ValueError(f"centroid model too large: {k} x {d}")
+    return sorted((r["lab"], [float(x) for x in r["c"].toArray()]) for r in rows)
 
 
 def nearest_centroid_scores(df: DataFrame, id_col: str, vec: str, label: str,
@@ -46,28 +51,34 @@ def nearest_centroid_scores(df: DataFrame, id_col: str, vec: str, label: str,
                             fold: Column | None = None) -> DataFrame:
     """Score rows against centroids: y_pred = nearest (ties to the lower label).
 
-    probability = softmax(-squared distance).  Distances are JVM expressions
-    over the row's array and literal centroid arrays (no join).
+    probability = softmax(-squared distance).  Dense k x d arithmetic per row
+    runs in numpy on Arrow batches (``mapInPandas``); the centroid matrix is
+    model-sized and shipped with the function.
     """
-    x = _vec(vec)
-    dists = []
-    for _, c in centroids:
-        carr = F.array(*[F.lit(float(v)) for v in c])
-        sq = F.aggregate(F.zip_with(x, carr, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                         lambda acc, y: acc + y)
-        dists.append(sq)
     labels = [lab for lab, _ in centroids]
-    d = df.select(F.col(id_col).alias("id"), F.col(label).cast("string").alias("y_true"),
-                  *( [fold.alias("fold")] if fold is not None else [F.lit(0).alias("fold")]),
-                  F.array(*dists).alias("__d"))
-    best = F.array_min("__d")
-    # first index of the minimum -> lowest label among ties
-    pred_idx = F.array_position("__d", best)
-    lab_arr = F.array(*[F.lit(v) for v in labels])
-    exps = F.transform("__d", lambda v: F.exp(best - v))
-    tot = F.aggregate(exps, F.lit(0.0), lambda a, b: a + b)
-    return d.select("id", "fold", "y_true", F.element_at(lab_arr, pred_idx.cast("int")).alias("y_pred"),
-                    F.transform(exps, lambda v: v / tot).alias("probability"))
+    cmat = np.array([c for _, c in centroids], dtype="float64")
+    src = df.select(F.col(id_col).alias("id"), F.col(label).cast("string").alias("y_true"),
+                    (fold if fold is not None else F.lit(0)).cast("int").alias("fold"),
+                    _vec(vec).alias("x"))
+
+    def score(batches):
+        lab_arr = np.array(labels, dtype=object)
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.stack(pdf["x"].to_numpy()).astype("float64")
+            dist = np.empty((len(x), len(cmat)))
+            for j in range(len(cmat)):
+                diff = x - cmat[j]
+                dist[:, j] = np.einsum("ij,ij->i", diff, diff)
+            best = dist.argmin(axis=1)            # first minimum -> lowest label
+            e = np.exp(dist.min(axis=1, keepdims=True) - dist)
+            prob = e / e.sum(axis=1, keepdims=True)
+            yield pd.DataFrame({"id": pdf["id"], "fold": pdf["fold"], "y_true": pdf["y_true"],
+                                "y_pred": lab_arr[best], "probability": list(prob)})
+
+    schema = "id long, fold int, y_true string, y_pred string, probability array<double>"
+    return src.mapInPandas(score, schema)
 
 
 def confusion_matrix(scored: DataFrame, digits: int = 1, normalize: bool = True) -> DataFrame:
@@ -128,11 +139,20 @@ def class_report(scored: DataFrame) -> DataFrame:
     return per.unionByName(macro).unionByName(weighted)
 
 
+MAX_CLASSES = 100_000
+
+
+def sorted_labels(scored: DataFrame) -> list[str]:
+    """Distinct true labels, sorted: model-sized (k values), checked."""
+    labs = scored.select("y_true").distinct().limit(MAX_CLASSES + 1).collect()
+    if len(labs) > MAX_CLASSES:
+        raise ValueError("too many classes for a one-vs-rest evaluation")
+    return sorted(r[0] for r in labs)
+
+
 def _class_scores(scored: DataFrame) -> DataFrame:
     """(cls, score, is_pos) per row and class; class k = k-th sorted label."""
-    labs = scored.select(F.col("y_true").alias("l")).distinct() \
-                 .agg(F.array_sort(F.collect_list("l")).alias("ls"))
-    ls = labs.select("ls").scalar()
+    ls = F.array(*[F.lit(v) for v in sorted_labels(scored)])
     return scored.select("y_true", F.posexplode("probability").alias("k", "score")) \
                  .select(F.element_at(ls, F.col("k") + 1).alias("cls"), "score",
                          (F.col("y_true") == F.element_at(ls, F.col("k") + 1)).alias("is_pos"))

@@ -62,22 +62,32 @@ def text_segments(docs: DataFrame, key: str, text: str, size: int = 30,
                   sep: str = " ", keep: list[str] | None = None) -> DataFrame:
     """Cut whole texts into segments of ``size`` words; drop the short tail.
 
-    One row per (key, chunk) with word-level descriptors.  Each document is
-    exploded inside its own task; the grouping key includes the chunk.
+    One row per (key, chunk) with word-level descriptors.  A document is one
+    row, so the cut and the descriptors are array expressions evaluated in
+    the task that reads it: no shuffle, whatever the corpus size.
     """
     keep = keep or []
-    words = docs.select(key, *keep, F.posexplode(F.split(F.col(text), sep)).alias("pos", "w"))
-    words = words.withColumn("chunk", F.floor(F.col("pos") / F.lit(size)).cast("int"))
-    L = F.length("w").cast("double")
-    digits = F.length(F.regexp_replace("w", r"[^0-9]", "")).cast("double")
-    agg = words.groupBy(key, *keep, "chunk").agg(
-        F.count(F.lit(1)).alias("n_words"),
-        F.avg(L).alias("mean_word_len"),
-        F.stddev_samp(L).alias("std_word_len"),
-        F.sum(L).alias("n_chars"),
-        F.try_divide(F.sum(digits), F.sum(L)).alias("digit_share"),
-        (F.count_distinct("w") / F.count(F.lit(1))).alias("unique_ratio"))
-    return agg.filter(F.col("n_words") == size)
+    words = F.split(F.col(text), sep)
+    n_full = F.floor(F.size(words) / F.lit(size)).cast("int")
+    base = docs.select(key, *keep, words.alias("__w"), n_full.alias("__k"))
+    seg = base.select(key, *keep, "__w", F.explode(
+        F.when(F.col("__k") > 0, F.sequence(F.lit(0), F.col("__k") - 1))).alias("chunk"))
+    w = F.slice(F.col("__w"), F.col("chunk") * size + 1, size)
+    seg = seg.select(key, *keep, "chunk", w.alias("w"))
+    lens = F.transform("w", lambda x: F.length(x).cast("double"))
+    digs = F.transform("w", lambda x: F.length(F.regexp_replace(x, r"[^0-9]", "")).cast("double"))
+    total = F.aggregate(lens, F.lit(0.0), lambda a, b: a + b)
+    seg = seg.select(key, *keep, "chunk", F.size("w").cast("long").alias("n_words"), lens.alias("__l"),
+                     total.alias("n_chars"), F.aggregate(digs, F.lit(0.0), lambda a, b: a + b).alias("__d"),
+                     F.size(F.array_distinct("w")).alias("__u"))
+    mean = F.col("n_chars") / F.col("n_words")
+    var = F.try_divide(F.aggregate("__l", F.lit(0.0), lambda a, x: a + (x - F.col("__m")) * (x - F.col("__m"))),
+                       (F.col("n_words") - 1).cast("double"))
+    return seg.withColumn("__m", mean).select(
+        key, *keep, "chunk", "n_words", F.col("__m").alias("mean_word_len"),
+        F.sqrt(var).alias("std_word_len"), "n_chars",
+        F.try_divide(F.col("__d"), F.col("n_chars")).alias("digit_share"),
+        (F.col("__u") / F.col("n_words")).alias("unique_ratio"))
 
 
 def song_means(segs: DataFrame, features: list[str], key: str = "file",
