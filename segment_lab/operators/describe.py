@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import ordinal
+from ..functions.sizing import bounded_broadcast
 
 
 def _g(x) -> list[str]:
@@ -118,9 +119,10 @@ def priority_lookup(counts: DataFrame, priority: DataFrame, group: str = "group"
                     token: str = "token", rank: str = "priority") -> DataFrame:
     """For each token, the first group (by priority) that contains it.
 
-    The priority table has one row per group and is broadcast.
+    The priority table has one row per group and is broadcast once its size
+    is checked.
     """
-    j = counts.select(group, token).join(F.broadcast(priority.select(group, rank)), group)
+    j = counts.select(group, token).join(bounded_broadcast(priority.select(group, rank)), group)
     return j.groupBy(token).agg(F.min_by(F.col(group), F.col(rank)).alias(group))
 
 

@@ -40,6 +40,21 @@ def scan_tracks(spark, d):
                     F.col("o_orderstatus").alias("phase"), F.floor("o_totalprice").alias("duration_s"))
 
 
+LI_META = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"]
+
+
+@query("feature_columns", """SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+  l_returnflag, l_linestatus FROM lineitem""")
+def feature_columns(spark, d):
+    """P3 + P4: features chosen from the schema by an exclusion list, then split by
+    type into numeric and categorical; the scan reads only the chosen columns."""
+    li = X.table(spark, d, "lineitem")
+    cand = [c for c in li.columns if c not in LI_META]
+    numeric, categorical = C.split_types(li, cand)
+    assert numeric == C.feature_columns(li, LI_META)
+    return li.select("l_orderkey", "l_linenumber", *numeric, *categorical)
+
+
 @query("file_catalog")
 def file_catalog(spark, d):
     """List the table files (path, length) without reading contents."""
