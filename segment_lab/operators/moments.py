@@ -8,7 +8,7 @@ ANOVA, Bonferroni and Cohen's d are computed from that small table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import f_pvalue_udf
@@ -56,8 +56,12 @@ def anova(mom: DataFrame, nulls: str = "drop") -> DataFrame:
 
 
 def bonferroni(res: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Features with p < alpha / m, m = number of features tested."""
-    m = res.agg(F.count(F.lit(1)).alias("m")).select("m").scalar()
+    """Features with p < alpha / m, m = number of features tested.
+
+    ``res`` has one row per feature, so m is a window count over that small
+    table (read once) rather than a second pass through its inputs.
+    """
+    m = F.count(F.lit(1)).over(Window.partitionBy())
     return res.withColumn("alpha_corrected", F.lit(alpha) / m) \
               .filter(F.col("p") < F.col("alpha_corrected"))
 

@@ -68,17 +68,22 @@ def text_segments(docs: DataFrame, key: str, text: str, size: int = 30,
     """
     keep = keep or []
     words = F.split(F.col(text), sep)
-    n_full = F.floor(F.size(words) / F.lit(size)).cast("int")
-    base = docs.select(key, *keep, words.alias("__w"), n_full.alias("__k"))
-    seg = base.select(key, *keep, "__w", F.explode(
-        F.when(F.col("__k") > 0, F.sequence(F.lit(0), F.col("__k") - 1))).alias("chunk"))
-    w = F.slice(F.col("__w"), F.col("chunk") * size + 1, size)
-    seg = seg.select(key, *keep, "chunk", w.alias("w"))
+    base = docs.select(key, *keep, words.alias("__w"))
+    n_full = F.floor(F.size("__w") / F.lit(size)).cast("int")
+    # Slice each text once into an array of segments (linear in its length),
+    # then explode that array: a row carries only its own segment.  The outer
+    # form keeps the optimizer from copying the slicing into an inferred
+    # ``size(...) > 0`` filter; texts shorter than one segment give a NULL
+    # chunk, dropped right after.
+    cut = F.when(n_full > 0, F.transform(F.sequence(F.lit(0), n_full - 1),
+                                         lambda i: F.slice("__w", i * size + 1, size)))
+    seg = (base.select(key, *keep, F.posexplode_outer(cut).alias("chunk", "w"))
+               .filter(F.col("chunk").isNotNull()))
     lens = F.transform("w", lambda x: F.length(x).cast("double"))
-    digs = F.transform("w", lambda x: F.length(F.regexp_replace(x, r"[^0-9]", "")).cast("double"))
-    total = F.aggregate(lens, F.lit(0.0), lambda a, b: a + b)
     seg = seg.select(key, *keep, "chunk", F.size("w").cast("long").alias("n_words"), lens.alias("__l"),
-                     total.alias("n_chars"), F.aggregate(digs, F.lit(0.0), lambda a, b: a + b).alias("__d"),
+                     F.length(F.array_join("w", "")).cast("double").alias("n_chars"),
+                     (F.length(F.array_join("w", "")) - F.length(F.translate(F.array_join("w", ""), "0123456789", "")))
+                     .cast("double").alias("__d"),
                      F.size(F.array_distinct("w")).alias("__u"))
     mean = F.col("n_chars") / F.col("n_words")
     var = F.try_divide(F.aggregate("__l", F.lit(0.0), lambda a, x: a + (x - F.col("__m")) * (x - F.col("__m"))),

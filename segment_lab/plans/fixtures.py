@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import ordinal
-from ..sources.tables import nan_to_null
+from ..sources.tables import nan_to_null, spread
 
 PHASES = ["F", "O", "P"]
 SEGMENT_WORDS = 30
+DIGITS = "0123456789"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,14 +84,14 @@ CLASSES_SQL = """classes AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'low'
 
 def doc_features(spark, d) -> DataFrame:
     """Per-document text measures joined to the 3-way class (T1-T5 input)."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     words = F.split(F.col("text"), " ")
     f = docs.select(
         "doc_id",
         F.length("text").cast("double").alias("chars"),
         F.size(words).cast("double").alias("words"),
         F.try_divide(F.size(F.array_distinct(words)), F.size(words)).alias("unique_ratio"),
-        F.try_divide(F.length(F.regexp_replace("text", r"[^0-9]", "")), F.length("text"))
+        F.try_divide(F.length("text") - F.length(F.translate("text", DIGITS, "")), F.length("text"))
          .alias("digit_share"),
         F.size(F.split(F.col("text"), "\n")).cast("double").alias("lines"))
     return f.join(classes(spark, d), "doc_id")

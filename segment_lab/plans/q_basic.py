@@ -12,7 +12,7 @@ from ..operators import joins as J
 from ..operators import segments as G
 from ..operators import timeline as W
 from ..sources import catalog as S
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 from . import fixtures as X
 from .fixtures import (CLASSES_SQL, RATINGS_SQL, SIGNAL_SQL, TRACKS_SQL)
 from .registry import query
@@ -81,7 +81,7 @@ TEXT_FEATS = ["mean_word_len", "std_word_len", "n_chars", "digit_share", "unique
 
 
 def _text_segments(spark, d):
-    docs = X.table(spark, d, "documents")
+    docs = spread(X.table(spark, d, "documents"))
     return G.text_segments(docs, "doc_id", "text", X.SEGMENT_WORDS, keep=["lang"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -237,7 +238,8 @@ EVENTS_SCHEMA = T.StructType([
   HAVING time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
 def stream_segments(spark, d):
     """6-hour tumbling-window segments of the event stream (1 h watermark, append)."""
-    tag = hashlib.md5(d.encode()).hexdigest()[:10]
+    # a fresh sink and checkpoint per call, so every run processes the whole stream
+    tag = f"{hashlib.md5(d.encode()).hexdigest()[:10]}_{uuid.uuid4().hex[:8]}"
     out = run_stream_segments(spark, d, "events.parquet", EVENTS_SCHEMA, "ts", ["event_type"],
                               "6 hours", "1 hour", f"events_{tag}")
     fmt = "yyyy-MM-dd HH:mm:ss"

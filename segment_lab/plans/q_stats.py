@@ -11,6 +11,7 @@ from ..operators import scored as SC
 from . import fixtures as X
 from .fixtures import DOC_FEATURES, DOC_FEATURES_SQL
 from .registry import query
+from ..session import materialize
 
 
 def _with(*ctes: str) -> str:
@@ -88,7 +89,7 @@ COHEN_SQL = """cd AS (SELECT a.feature, a.grp AS group1, b.grp AS group2,
 
 
 def _cohen(spark, d):
-    mom = _mom(spark, d)
+    mom = materialize(_mom(spark, d))     # read by the test and both join sides
     sig = M.bonferroni(M.anova(mom, nulls="drop"))
     return M.cohens_d(mom, sig)
 

@@ -66,3 +66,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the session's shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage (reliable checkpoint).
+
+    For a derived table that several branches of a plan read (for example a
+    moments table feeding both a test and a pairwise join): without this each
+    branch would rescan the source.  The files go to the session's shared
+    checkpoint folder, so a lost executor does not force a recomputation.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
