@@ -157,8 +157,14 @@ def shared_histogram(shared: DataFrame, n: str = "n_groups") -> DataFrame:
 # --- W4, A11 -----------------------------------------------------------------
 
 def scalars(agg_df: DataFrame) -> dict[str, Column]:
-    """Each column of a one-row aggregate as a scalar-subquery Column."""
-    return {c: agg_df.select(c).scalar() for c in agg_df.columns}
+    """Each column of a one-row aggregate as a scalar-subquery Column.
+
+    All columns come from ONE subquery returning a struct; every use is the
+    same subquery expression, which Spark executes once and reuses, so the
+    aggregate is a single pass however many statistics it holds.
+    """
+    sq = agg_df.select(F.struct(*agg_df.columns).alias("__s")).scalar()
+    return {c: sq.getField(c) for c in agg_df.columns}
 
 
 def minmax_scale(df: DataFrame, cols: list[str], lo: float = -1.0, hi: float = 1.0,

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.special import mcnemar_exact_udf
 from .describe import scalars
 from .ordered import running_sums
+from ..session import materialize
 
 MAX_MODEL_CELLS = 1_000_000   # bound on k x d values a centroid model may hold
 
@@ -81,21 +82,36 @@ def nearest_centroid_scores(df: DataFrame, id_col: str, vec: str, label: str,
     return src.mapInPandas(score, schema)
 
 
+def cells(scored: DataFrame) -> DataFrame:
+    """(y_true, y_pred, n): the one pass over a scored table that M1-M3, T6 and
+    C7-C11 need.  Its size is labels x labels, independent of the row count;
+    it is checkpointed so every metric derived from it reads the small table
+    instead of rescanning (and re-scoring) the rows."""
+    c = scored.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(c)
+
+
+def _cells(scored_or_cells: DataFrame) -> DataFrame:
+    if "n" in scored_or_cells.columns and "probability" not in scored_or_cells.columns:
+        return scored_or_cells
+    return cells(scored_or_cells)
+
+
 def confusion_matrix(scored: DataFrame, digits: int = 1, normalize: bool = True) -> DataFrame:
     """Row-normalised confusion matrix in long form (M1); absent cells are 0.
 
-    Cells come from one aggregation; the label grid (k x k) is built from the
-    distinct labels inside a single row and left-joined.
+    Everything comes from the cell counts: the label grid (k x k) is built
+    from the distinct labels gathered into one row and left-joined.
     """
-    cells = scored.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
-    labs = scored.select(F.col("y_true").alias("l")).union(scored.select(F.col("y_pred").alias("l"))) \
-                 .agg(F.array_sort(F.collect_set("l")).alias("ls"))
+    cl = _cells(scored)
+    labs = cl.select(F.col("y_true").alias("l")).union(cl.select(F.col("y_pred").alias("l"))) \
+             .agg(F.array_sort(F.collect_set("l")).alias("ls"))
     grid = labs.select(F.explode("ls").alias("y_true"), "ls") \
                .select("y_true", F.explode("ls").alias("y_pred"))
-    full = grid.join(cells, ["y_true", "y_pred"], "left").na.fill(0, ["n"])
+    full = grid.join(cl, ["y_true", "y_pred"], "left").na.fill(0, ["n"])
     if not normalize:
         return full
-    rows = scored.groupBy("y_true").agg(F.count(F.lit(1)).alias("row_n"))
+    rows = cl.groupBy("y_true").agg(F.sum("n").alias("row_n"))
     out = full.join(rows, "y_true", "left")
     share = F.try_divide(F.col("n").cast("double"), F.col("row_n").cast("double"))
     if digits is not None:
@@ -105,11 +121,13 @@ def confusion_matrix(scored: DataFrame, digits: int = 1, normalize: bool = True)
 
 def accuracy_vs_chance(scored: DataFrame) -> DataFrame:
     """Model accuracy and majority-class accuracy (M2)."""
-    counts = scored.groupBy("y_true").agg(F.count(F.lit(1)).alias("c"))
-    s = scalars(counts.agg(F.max("c").alias("mx")))
-    return scored.agg(F.avg(F.when(F.col("y_true") == F.col("y_pred"), 1.0).otherwise(0.0)).alias("model_acc"),
-                      (s["mx"] / F.count(F.lit(1))).alias("chance_acc"),
-                      F.count(F.lit(1)).alias("n"))
+    cl = _cells(scored)
+    per_true = cl.groupBy("y_true").agg(F.sum("n").alias("c"),
+                                        F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n"))
+                                              .otherwise(0)).alias("right"))
+    return per_true.agg((F.sum("right") / F.sum("c")).alias("model_acc"),
+                        (F.max("c") / F.sum("c")).alias("chance_acc"),
+                        F.sum("c").alias("n"))
 
 
 def class_report(scored: DataFrame) -> DataFrame:
@@ -117,10 +135,10 @@ def class_report(scored: DataFrame) -> DataFrame:
 
     0 on zero division, as the reference's default.
     """
-    tp = scored.filter(F.col("y_true") == F.col("y_pred")).groupBy(F.col("y_true").alias("cls")) \
-               .agg(F.count(F.lit(1)).alias("tp"))
-    sup = scored.groupBy(F.col("y_true").alias("cls")).agg(F.count(F.lit(1)).alias("support"))
-    pp = scored.groupBy(F.col("y_pred").alias("cls")).agg(F.count(F.lit(1)).alias("pp"))
+    cl = _cells(scored)
+    tp = cl.filter(F.col("y_true") == F.col("y_pred")).select(F.col("y_true").alias("cls"), F.col("n").alias("tp"))
+    sup = cl.groupBy(F.col("y_true").alias("cls")).agg(F.sum("n").alias("support"))
+    pp = cl.groupBy(F.col("y_pred").alias("cls")).agg(F.sum("n").alias("pp"))
     j = sup.join(pp, "cls", "full").join(tp, "cls", "left").na.fill(0, ["tp", "support", "pp"])
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("pp").cast("double")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))
@@ -201,21 +219,26 @@ def mcnemar(scored: DataFrame, mode: str = "paired", alpha: float = 0.05) -> Dat
 
     ``paired``: b = model wrong & chance right, c = model right & chance wrong.
     ``compat``: the reference's table of marginal totals, b = model wrong,
-    c = chance right.
+    c = chance right.  All counts come from the cell table.
     """
-    counts = scored.groupBy("y_true").agg(F.count(F.lit(1)).alias("c"))
-    maj = counts.orderBy(F.col("c").desc(), F.col("y_true").asc()).limit(1).select("y_true").scalar()
+    cl = _cells(scored)
+    per_true = cl.groupBy("y_true").agg(F.sum("n").alias("c"))
+    maj = per_true.orderBy(F.col("c").desc(), F.col("y_true").asc()).limit(1).select("y_true").scalar()
     right = F.col("y_true") == F.col("y_pred")
     chance = F.col("y_true") == maj
+    n = F.col("n")
+
+    def total(cond):
+        return F.sum(F.when(cond, n).otherwise(0))
     if mode == "paired":
-        b, c = F.count_if(~right & chance), F.count_if(right & ~chance)
+        b, c = total(~right & chance), total(right & ~chance)
     elif mode == "compat":
-        b, c = F.count_if(~right), F.count_if(chance)
+        b, c = total(~right), total(chance)
     else:
         raise ValueError("mode must be 'paired' or 'compat'")
-    t = scored.agg(b.alias("b"), c.alias("c"),
-                   F.avg(F.when(right, 1.0).otherwise(0.0)).alias("model_acc"),
-                   F.avg(F.when(chance, 1.0).otherwise(0.0)).alias("chance_acc"))
+    t = cl.agg(b.alias("b"), c.alias("c"),
+               (total(right) / F.sum(n)).alias("model_acc"),
+               (total(chance) / F.sum(n)).alias("chance_acc"))
     t = t.withColumn("p", mcnemar_exact_udf("b", "c"))
     verdict = (F.when((F.col("p") < alpha) & (F.col("model_acc") > F.col("chance_acc")), "better")
                 .when((F.col("p") < alpha) & (F.col("model_acc") < F.col("chance_acc")), "worse")
