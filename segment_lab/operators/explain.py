@@ -1,8 +1,9 @@
 """Model explanations (M5-M7).
 
 Linear SHAP for a linear model with independent features is exact:
-phi_j = coef_j * (x_j - mean_j) per class (margin space).  It is one
-expression per row; means come from a scalar aggregate.
+phi_j = coef_j * (x_j - mean_j) per class (margin space).  Its mean absolute
+value factors into |coef| times the feature's mean absolute deviation, so
+two vector aggregates over the rows serve every class.
 """
 
 from __future__ import annotations
@@ -31,29 +32,29 @@ def shap_linear(df: DataFrame, model, vec: str, names: list[str], labels: list[s
                 top: int = 5) -> DataFrame:
     """Mean |phi| per (class, feature) and the top ``top`` features per class (M6).
 
-    phi = coef * (x - background mean), background = the scored rows.
-    Also returns ``check`` = max |sum(phi) + base - margin| for validation.
+    phi_ij = coef_ij * (x_j - mu_j), background = the scored rows.  Since
+    |coef_ij * (x_j - mu_j)| = |coef_ij| * |x_j - mu_j|, the mean |phi| is
+    |coef_ij| times the mean absolute deviation of feature j: two vector
+    aggregates over the rows (mean, then mean |x - mu|) give all classes at
+    once.  Returns (top table, base values per class) where base_i =
+    intercept_i + coef_i . mu, so that sum_j phi_ij + base_i is the margin.
     """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    from pyspark.sql import SparkSession, Window
     mat = model.coefficientMatrix.toArray()
     icpt = model.interceptVector.toArray()
     d = len(names)
-    x = vector_to_array(F.col(vec))
-    means = df.select(x.alias("x")).select([F.avg(F.col("x")[j]).alias(f"m{j}") for j in range(d)])
-    mrow = means.first()
-    mu = [float(mrow[f"m{j}"]) for j in range(d)]
-    rows = df.select(x.alias("x"))
-    aggs = []
-    for i, lab in enumerate(labels):
-        for j in range(d):
-            phi = F.lit(float(mat[i, j])) * (F.col("x")[j] - F.lit(mu[j]))
-            aggs.append(F.avg(F.abs(phi)).alias(f"a_{i}_{j}"))
-    a = rows.agg(*aggs)
-    long = a.select(F.explode(F.array(*[
-        F.struct(F.lit(lab).alias("cls"), F.lit(names[j]).alias("feature"), F.col(f"a_{i}_{j}").alias("mean_abs_phi"))
-        for i, lab in enumerate(labels) for j in range(d)])).alias("s")).select("s.*")
-    from pyspark.sql import Window
+    mu = df.select(Summarizer.mean(F.col(vec)).alias("m")).first()["m"].toArray()   # d values
+    mu_arr = F.array(*[F.lit(float(v)) for v in mu])
+    dev = df.select(array_to_vector(F.zip_with(vector_to_array(F.col(vec)), mu_arr,
+                                               lambda a, b: F.abs(a - b))).alias("dev"))
+    mad = dev.select(Summarizer.mean(F.col("dev")).alias("m")).first()["m"].toArray()
+    spark = SparkSession.getActiveSession()
+    rows = [(lab, names[j], float(abs(mat[i, j]) * mad[j])) for i, lab in enumerate(labels) for j in range(d)]
+    long = spark.createDataFrame(rows, "cls string, feature string, mean_abs_phi double")
     w = Window.partitionBy("cls").orderBy(F.col("mean_abs_phi").desc(), "feature")
-    base = [float(icpt[i] + sum(mat[i, j] * mu[j] for j in range(d))) for i in range(len(labels))]
+    base = [float(icpt[i] + float(mat[i] @ mu)) for i in range(len(labels))]
     return long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top), base
 
 

@@ -185,9 +185,11 @@ def roc_points(scored: DataFrame) -> DataFrame:
     cs = _class_scores(scored)
     per = cs.groupBy("cls", "score").agg(F.count_if("is_pos").alias("tp"),
                                          F.count_if(~F.col("is_pos")).alias("fp"))
-    tots = cs.groupBy("cls").agg(F.count_if("is_pos").alias("n_pos"), F.count_if(~F.col("is_pos")).alias("n_neg"))
     cum = running_sums(per.withColumn("neg_score", -F.col("score")), "cls", "neg_score",
                        {"cum_tp": F.col("tp"), "cum_fp": F.col("fp")})
+    # class totals from the same (persisted) ordered table: no second pass
+    # over the scores
+    tots = cum.groupBy("cls").agg(F.sum("tp").alias("n_pos"), F.sum("fp").alias("n_neg"))
     j = cum.join(tots, "cls")
     pts = j.select("cls", F.col("score").alias("threshold"),
                    F.try_divide(F.col("cum_fp").cast("double"), F.col("n_neg").cast("double")).alias("fpr"),

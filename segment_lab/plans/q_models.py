@@ -186,10 +186,17 @@ def silhouette_sq(spark, d):
 
 
 def _logreg_model(spark, d):
+    """The last fold's logistic model (the one the explanations describe) and
+    the rows in the model's own feature space (z-scored before CV, as in the
+    segment pipeline).  Only that fold's model is fitted."""
+    from pyspark.ml.feature import StandardScaler
     e = _emb(spark, d)
-    out, models, labels = L.oof_predictions(FO.stratified_folds(e, "label", "vec_id", 5, SEED),
-                                            "label", "features", "vec_id", model="log", prep="global",
-                                            return_models=True)
+    e = (StandardScaler(inputCol="features", outputCol="__xs", withMean=True, withStd=True).fit(e)
+         .transform(e).drop("features").withColumnRenamed("__xs", "features"))
+    folds = FO.stratified_folds(e, "label", "vec_id", 5, SEED)
+    last = folds.agg(F.max("fold")).first()[0]
+    out, models, labels = L.oof_predictions(folds, "label", "features", "vec_id", model="log",
+                                            prep="none", return_models=True, only_folds=[last])
     return e, models[-1].stages[-1], labels
 
 

@@ -84,3 +84,9 @@ def test_linear_shap_is_additive(spark, small_dir):
     for i in range(len(labels)):
         phi = coef[i] * (xs - mu)
         assert np.allclose(phi.sum(1) + base[i], xs @ coef[i] + icpt[i], atol=1e-8)
+    # mean |phi| per (class, feature) against brute force over all rows
+    allx = np.stack([r["features"].toArray() for r in e.select("features").collect()])
+    got = {(r["cls"], r["feature"]): r["mean_abs_phi"] for r in top.collect()}
+    for (cls, feat), v in got.items():
+        i, j = labels.index(cls), int(feat[1:])
+        assert v == pytest.approx(np.abs(coef[i, j] * (allx[:, j] - mu[j])).mean(), rel=1e-9)
