@@ -287,7 +287,7 @@ TOKENS_SQL = """tok AS (SELECT lang, unnest(string_split(text, ' ')) AS token FR
 
 
 def _token_counts(spark, d):
-    return D.token_counts(X.table(spark, d, "documents"), "lang", "text", sep=" ")
+    return D.token_counts(spread(X.table(spark, d, "documents")), "lang", "text", sep=" ")
 
 
 @query("token_counts", _with(TOKENS_SQL) + "SELECT * FROM tc")

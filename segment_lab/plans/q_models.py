@@ -23,6 +23,7 @@ from . import fixtures as X
 from .fixtures import CLASSES_SQL
 from .q_basic import LI_FEATS, TEXT_SEG_SQL
 from .registry import query
+from ..sources.tables import spread
 
 SEED = 1987
 
@@ -97,7 +98,7 @@ def stratified_folds(spark, d):
   SELECT sl.doc_id, sl.chunk, sl.cls, ft.fold FROM sl JOIN ft ON sl.doc_id = ft.doc_id""")
 def group_folds(spark, d):
     """L2: segments of one document never straddle folds; folds stratified by class."""
-    segs = X.table(spark, d, "documents")
+    segs = spread(X.table(spark, d, "documents"))
     from ..operators.segments import text_segments
     s = text_segments(segs, "doc_id", "text", X.SEGMENT_WORDS).select("doc_id", "chunk")
     s = s.join(X.classes(spark, d), "doc_id")
