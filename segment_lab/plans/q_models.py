@@ -123,6 +123,13 @@ def logreg_oof(spark, d):
     return L.oof_predictions(_emb_folds(spark, d), "label", "features", "vec_id", model="log")
 
 
+@query("oof_predictions")
+def oof_predictions(spark, d):
+    """Pooled out-of-fold scored table with the segment pipeline's
+    preparation (scaler fitted once on all rows before CV, the compat path)."""
+    return L.oof_predictions(_emb_folds(spark, d), "label", "features", "vec_id", model="log", prep="global")
+
+
 @query("rf_oof")
 def rf_oof(spark, d):
     """5-fold out-of-fold random forest (100 trees) scored table."""

@@ -318,6 +318,23 @@ def _chance_sql() -> str:
   bcont AS (SELECT baseline, y_true, y_pred, count(*) AS n FROM stacked GROUP BY ALL)"""
 
 
+@query("adjusted_rand", _with(X.CLASSES_SQL, """dcont AS (SELECT c.cls AS y_true, d.lang AS y_pred, count(*) AS n
+  FROM documents d JOIN classes c ON d.doc_id = c.doc_id GROUP BY ALL)""", _agree_sql("dcont")) + "SELECT ari FROM agr")
+def adjusted_rand(spark, d):
+    """Adjusted Rand index between the 3-way document class and the language."""
+    docs = X.table(spark, d, "documents").select("doc_id", "lang")
+    cont = A.contingency(docs.join(X.classes(spark, d), "doc_id"), "cls", "lang")
+    return A.agreement_scores(cont).select("ari")
+
+
+@query("nmi_v_measure", _with("""lcont AS (SELECT lang AS y_true, source AS y_pred, count(*) AS n
+  FROM documents GROUP BY ALL)""", _agree_sql("lcont")) + "SELECT nmi, homogeneity, completeness, v_measure FROM agr")
+def nmi_v_measure(spark, d):
+    """NMI, homogeneity, completeness and V-measure of document source against language."""
+    cont = A.contingency(X.table(spark, d, "documents"), "lang", "source")
+    return A.agreement_scores(cont).select("nmi", "homogeneity", "completeness", "v_measure")
+
+
 @query("chance_baselines", _with(SCORED_SQL, _chance_sql(), _agree_sql("bcont", "baseline"))
        + "SELECT baseline, ari, nmi FROM agr")
 def chance_baselines(spark, d):
