@@ -227,15 +227,19 @@ def shap_linear(spark, d):
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
-    """M7: permutation importance of each dimension for a forest."""
-    e = _emb_folds(spark, d)
+    """M7: permutation importance of each dimension for the last fold's forest
+    (reference settings: 100 trees, depth cap, balanced weights), over all rows."""
     from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.classification import RandomForestClassifier
-    idx = StringIndexer(inputCol="label", outputCol="__li", stringOrderType="alphabetAsc").fit(e).transform(e)
-    rf = RandomForestClassifier(featuresCol="features", labelCol="__li", numTrees=20, maxDepth=8,
-                                seed=SEED).fit(idx)
+    e = _emb_folds(spark, d)
+    last = e.agg(F.max("fold")).first()[0]
+    _, models, labels = L.oof_predictions(e, "label", "features", "vec_id", model="rf", prep="none",
+                                          return_models=True, only_folds=[last])
+    rf = models[-1].stages[-1]
+    # same label order as the model: string labels indexed alphabetically
+    rows = e.select(F.col("label").cast("string").alias("__ys"), F.col("features").alias("__x"))
+    idx = StringIndexer(inputCol="__ys", outputCol="__li", stringOrderType="alphabetAsc").fit(rows).transform(rows)
     names = [f"d{j}" for j in range(rf.numFeatures)]
-    return EX.permutation_importance(idx, rf, "features", "__li", names, SEED)
+    return EX.permutation_importance(idx, rf, "__x", "__li", names, SEED)
 
 
 # --------------------------------------------------------------- streaming ---

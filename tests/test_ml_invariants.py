@@ -90,3 +90,15 @@ def test_linear_shap_is_additive(spark, small_dir):
     for (cls, feat), v in got.items():
         i, j = labels.index(cls), int(feat[1:])
         assert v == pytest.approx(np.abs(coef[i, j] * (allx[:, j] - mu[j])).mean(), rel=1e-9)
+
+
+def test_permutation_importance_signal_vs_constant(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.linalg import Vectors
+    from segment_lab.operators import explain as EX
+    data = [(float(i % 2), Vectors.dense([float(i % 2) + 0.01 * (i % 7), 5.0])) for i in range(200)]
+    df = spark.createDataFrame(data, ["y", "x"])
+    rf = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=5, maxDepth=3, seed=1).fit(df)
+    imp = {r["feature"]: r["importance"] for r in EX.permutation_importance(df, rf, "x", "y", ["a", "b"], 7).collect()}
+    assert imp["b"] == 0.0          # a constant feature: permuting it changes nothing
+    assert imp["a"] > 0.3           # the signal feature: permuting it breaks the prediction
