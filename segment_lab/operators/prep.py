@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.randomness import seeded_hash
-from ..functions.sizing import bounded_broadcast
 from .describe import scalars
 from .ordered import ordinal
 
@@ -81,7 +80,7 @@ def one_hot_long(train: DataFrame, apply: DataFrame, id_col: str, cols: list[str
         # slot = number of training categories sorted before v (a small table)
         ranked = ordinal(cats.withColumn("__g", F.lit(0)), "__g", ["v"], "slot").drop("__g")
         part = (apply.select(F.col(id_col).alias("id"), F.col(c).alias("v"))
-                .join(bounded_broadcast(ranked), "v", "left")
+                .join(ranked, "v", "left")   # AQE broadcasts it once its measured size is small
                 .select("id", F.lit(c).alias("feature"), F.col("slot").cast("int").alias("slot")))
         out = part if out is None else out.unionByName(part)
     return out
@@ -95,9 +94,14 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight of each row's class (k rows, broadcast when small)."""
+    """Attach the balanced weight of each row's class.
+
+    The weight table has one row per class but is an aggregate of ``df``;
+    counting it before a hint would cost a pass over ``df``, so the join is
+    left to AQE, which broadcasts it from its measured shuffle size.
+    """
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(bounded_broadcast(w), label)
+    return df.join(w, label)
 
 
 def undersample(df: DataFrame, label: str, id_col: str, seed: int = 1987) -> DataFrame:
