@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import round_doubles
+from ..session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None, digits: int | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             df = fn(spark, sf_dir)
             return round_doubles(df, digits) if digits is not None else df
         run.__name__ = fn.__name__
