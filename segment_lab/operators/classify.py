@@ -39,9 +39,8 @@ def make_model(kind: str = "log", features: str = "features", label: str = "__y"
         return RandomForestClassifier(featuresCol=features, labelCol=label, weightCol=weight,
                                       numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30,
                                       seed=seed,
-                                      # deep trees: keep each row's node id cached between levels
-                                      # (checkpointed) and split more nodes per pass over the data
-                                      cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
+                                      # deep trees: split more nodes per pass over the data
+                                      maxMemoryInMB=1024)
     raise ValueError(f"unknown model {kind!r}")
 
 
