@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import simhash
+from . import simhash, substrings
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +32,26 @@ def query(sql: str | None = None):
 def op9_simhash(spark, sf_dir):
     """Near-duplicate components of all documents by SimHash and Golay keys."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query(r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 13), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 12, 0))) AS i FROM words)),
+dead AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM windows) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM dead),
+kept AS (
+  SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS t, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM words) x
+  ANTI JOIN gone USING (doc_id, p) GROUP BY x.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+""")
+def op2_substrings(spark, sf_dir):
+    """Words left of each document once windows of smaller ids are removed."""
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
