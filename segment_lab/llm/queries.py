@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import simhash, substrings
+from . import packing, simhash, substrings
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,3 +60,9 @@ def op2_substrings(spark, sf_dir):
     """Words left of each document once windows of smaller ids are removed."""
     out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op1_packing(spark, sf_dir):
+    """All documents as token pieces packed into sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
