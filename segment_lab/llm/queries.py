@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import packing, simhash, substrings
+from . import packing, simhash, substrings, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,17 @@ def op2_substrings(spark, sf_dir):
 def op1_packing(spark, sf_dir):
     """All documents as token pieces packed into sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS m FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, s AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to
+FROM r
+""")
+def op6_warc(spark, sf_dir):
+    """All pages written to WARC archives with revisits, and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
