@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import packing, simhash, substrings, warc
+from . import mixing, packing, simhash, substrings, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,10 @@ FROM r
 def op6_warc(spark, sf_dir):
     """All pages written to WARC archives with revisits, and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op8_mixing(spark, sf_dir):
+    """All documents mixed over a domain-language-source tree, one row per copy taken."""
+    out = mixing.mix(table(spark, sf_dir, "documents"), mixing.document_levels())
+    return out.select("doc_id", mixing.default_domain().alias("domain"), "lang", "source", "epoch", "n_tokens")
