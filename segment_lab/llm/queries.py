@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import mixing, packing, simhash, substrings, warc
+from . import language, mixing, packing, simhash, substrings, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op8_mixing(spark, sf_dir):
     """All documents mixed over a domain-language-source tree, one row per copy taken."""
     out = mixing.mix(table(spark, sf_dir, "documents"), mixing.document_levels())
     return out.select("doc_id", mixing.default_domain().alias("domain"), "lang", "source", "epoch", "n_tokens")
+
+
+@query()
+def op4_language(spark, sf_dir):
+    """Language of every document by cross-parsing against learned text."""
+    return language.identify(table(spark, sf_dir, "documents"))
