@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import language, mixing, packing, simhash, substrings, warc
+from . import language, mixing, packing, quality, simhash, substrings, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,10 @@ def op8_mixing(spark, sf_dir):
 def op4_language(spark, sf_dir):
     """Language of every document by cross-parsing against learned text."""
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_quality(spark, sf_dir):
+    """Base counts and line-labelling verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
