@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import language, mixing, packing, quality, simhash, substrings, warc
+from . import language, licenses, mixing, packing, quality, simhash, substrings, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op3_quality(spark, sf_dir):
     """Base counts and line-labelling verdict of every document."""
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query(licenses.oracle())
+def op10_licenses(spark, sf_dir):
+    """Licence labels of every document by diagonal voting."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
