@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import language, licenses, mixing, packing, quality, simhash, substrings, warc
+from . import language, licenses, mixing, packing, quality, simhash, substrings, warc, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,10 @@ def op3_quality(spark, sf_dir):
 def op10_licenses(spark, sf_dir):
     """Licence labels of every document by diagonal voting."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_winnowing(spark, sf_dir):
+    """Winnowing fingerprints of every document and of its edited text."""
+    out = winnowing.fingerprints(table(spark, sf_dir, "documents"))
+    return out.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
