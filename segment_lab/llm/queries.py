@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import language, licenses, mixing, packing, quality, simhash, substrings, warc, winnowing
+from . import byte_repeats, language, licenses, mixing, packing, quality, simhash, substrings, warc, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,28 @@ def op7_winnowing(spark, sf_dir):
     """Winnowing fingerprints of every document and of its edited text."""
     out = winnowing.fingerprints(table(spark, sf_dir, "documents"))
     return out.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
+@query("""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(substring(x, 2 * i + 1, 400)) AS g
+      FROM (SELECT doc_id, x, unnest(range(greatest(len(x) // 2 - 199, 0))) AS i FROM h)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM w) WHERE n > 1),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r),
+k AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM g),
+spans AS (SELECT doc_id, s, min(i) AS a, max(i) + 200 AS z FROM k GROUP BY doc_id, s),
+pieces AS (
+  SELECT doc_id, s, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM spans),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS tail,
+         string_agg(substring(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY s) AS y
+  FROM pieces JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(y || substring(x, 2 * tail + 1), x))) AS kept_sha256
+FROM h LEFT JOIN kept USING (doc_id)
+""")
+def op5_suffixes(spark, sf_dir):
+    """Bytes left of each document once every repeated 200-byte string is removed."""
+    out = byte_repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
