@@ -159,8 +159,15 @@ def hash_spans(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((prefix[ends] - prefix[starts]) * down[starts])
 
 
-# ---------------------------------------------------------------- ids
-
-def sort_key(df: DataFrame, id_col: str):
-    """A non-null text form of the id, for joins that must keep null ids together."""
-    return F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))
+# ---------------------------------------------------------------- columns
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front of those that ``df`` already uses."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import fresh, utf8
 
 #: Labelled text that is learned for each language (the stated bounds of the training sample).
 SAMPLE_CHARS = 20_000
@@ -198,7 +198,8 @@ def model_of(samples: tuple[tuple[str, str], ...]) -> Model:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              samples: dict[str, str] | None = None, carry: bool = False) -> DataFrame:
-    """``(<id_col>, held_out, lang_pred, score)`` of every row, or all columns plus the last two with ``carry``.
+    """``(<id_col>, held_out, lang_pred, score)`` of every row, or all columns plus the last two with ``carry`` (with
+    underscores in front where ``docs`` has columns of these names).
 
     ``lang_pred`` is the learned language with the smallest normalised number
     of phrases (ties: the first in alphabetical order) and ``score`` one
@@ -209,28 +210,32 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     get their row; an empty table gives an empty one.
     """
     learned = tuple(sorted((samples if samples is not None else training_samples(docs, id_col, text_col, lang_col)).items()))
-    source = docs.withColumn("_text", F.col(text_col).cast("string")) if carry else \
-        docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("_text"))
-    kept = [f for f in source.schema.fields if f.name != "_text"]
+    if carry:
+        body, lang_name, score_name = fresh(docs, "_text", "lang_pred", "score")
+        source = docs.withColumn(body, F.col(text_col).cast("string"))
+    else:
+        body, lang_name, score_name = "_text", "lang_pred", "score"
+        source = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias(body))
+    kept = [f for f in source.schema.fields if f.name != body]
 
     def run(batches):
         model = model_of(learned)
         for b in batches:
-            _, offsets = utf8(b.column("_text"))
+            _, offsets = utf8(b.column(body))
             lo = 0
             while lo < b.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + WALK_BYTES, side="right")) - 1)
                 part = b.slice(lo, hi - lo)
-                lang, score = model.classify(part.column("_text").to_pylist())
+                lang, score = model.classify(part.column(body).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                                 [*(f.name for f in kept), "lang_pred", "score"])
+                                                 [*(f.name for f in kept), lang_name, score_name])
                 lo = hi
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(run, f"{schema}, `{lang_name}` string, `{score_name}` double")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows whose text has a language; null texts and texts without a letter go."""
     found = identify(docs, id_col, text_col, lang_col, carry=True)
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return found.where(F.col(fresh(docs, "_text", "lang_pred")[1]) != UNKNOWN).select(*docs.columns)

@@ -80,13 +80,13 @@ def mix(docs: DataFrame, levels: dict[str, Column], budget: float | None = None,
     takes of its last epoch the rows up to its budget, the row that crosses
     it if at least half of its tokens still fit.
     A leaf whose rows hold no token keeps each row once.  Equal rows share
-    their place in the order and are taken together; an empty table gives an
-    empty one.
+    their place in the order and are taken together; columns named as the two
+    new ones are replaced; an empty table gives an empty one.
     """
     names = list(levels)
     keys = [f"_l{k}" for k in range(len(names))]
     count = F.coalesce(tokens if tokens is not None else F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    marked = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("\x00null")).alias(k) for k, c in zip(keys, levels.values())],
+    marked = docs.select(F.struct(*docs.columns).alias("row"), *[F.coalesce(c.cast("string"), F.lit("\x00null")).alias(k) for k, c in zip(keys, levels.values())],
                          F.xxhash64(id_col, text_col).alias("_h"), count.alias("_n"))
     rows = written(marked.select(*keys, "_h", "_n"), "mix_rows")
     leaves = written(rows.groupBy(*keys).agg(F.sum("_n").alias("_tokens")), "mix_leaves")
@@ -117,7 +117,8 @@ def mix(docs: DataFrame, levels: dict[str, Column], budget: float | None = None,
 
     copies = F.col("_epochs") + (place <= F.col("_mark")).cast("int")
     taken = marked.join(small(told), keys).withColumn("_copies", copies).where("_copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("epoch"), F.col("_n").alias("n_tokens"))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("epoch", "n_tokens")]
+    return taken.select(*kept, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("epoch"), F.col("_n").alias("n_tokens"))
 
 
 def document_levels() -> dict[str, Column]:

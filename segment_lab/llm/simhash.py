@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8, words_of, written
+from .common import chunks, fresh, utf8, words_of, written
 from .graph import components
 from .xxh import xxh64_slices
 
@@ -248,6 +248,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     missing = F.col(id_col).isNull()
     best = found.groupBy("component_id").agg(F.min(F.struct(missing.alias("none"), F.col(id_col).alias("id"), "text_key")).alias("w"))
     # an id is compared by its text so that a null id finds itself
-    named = best.select(F.coalesce(F.col("w.id").cast("string"), F.lit("")).alias("_id"), F.col("w.text_key").alias("_key"))
-    left = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_key", F.xxhash64(text_col))
-    return left.join(named.distinct(), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    id_key, text_key = fresh(docs, "_id", "_key")
+    named = best.select(F.coalesce(F.col("w.id").cast("string"), F.lit("")).alias(id_key), F.col("w.text_key").alias(text_key))
+    left = docs.withColumn(id_key, F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn(text_key, F.xxhash64(text_col))
+    return left.join(named.distinct(), [id_key, text_key], "left_semi").dropDuplicates([id_key, text_key]).select(*docs.columns)
