@@ -35,20 +35,33 @@ def stream_segments(stream_df: DataFrame, ts: str, keys: list[str], size: str,
                        *keys, "n", "mean", "min", "max", "rms"))
 
 
-def run_stream_segments(spark: SparkSession, source_dir: str, glob: str, schema: T.StructType,
-                        ts: str, keys: list[str], size: str, delay: str, name: str,
-                        value: str = "value") -> DataFrame:
+def open_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A file stream over one table: a folder of part files, or a single file.
+
+    A file source reads folders only, so a single file is its parent folder
+    narrowed to the file's name.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(schema)
+    if fs.getFileStatus(hadoop).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", hadoop.getName()).parquet(hadoop.getParent().toString())
+
+
+def run_stream_segments(spark: SparkSession, path: str, schema: T.StructType, ts: str, keys: list[str],
+                        size: str, delay: str, name: str, value: str = "value") -> DataFrame:
     """Drive the stream over all files present now, write parquet, read it back.
 
-    ``availableNow`` processes what is there in bounded micro-batches and
-    stops; the file sink and its checkpoint live under the session's shared
-    checkpoint folder.  The returned DataFrame reads the sink (no result goes
-    through the driver).
+    ``availableNow`` takes all files in one micro-batch and stops.  Files
+    whose times overlap must not be split over several batches: the watermark
+    moves between batches and would drop the later files' rows as late.  The
+    sink and its checkpoint live under the session's shared checkpoint folder
+    and are deleted at the end; the returned DataFrame reads the sink (no
+    result goes through the driver).
     """
     out = scratch_path(spark, f"stream_{name}")
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-              .option("maxFilesPerTrigger", 1).parquet(source_dir))
-    q = (stream_segments(stream, ts, keys, size, delay, value)
+    q = (stream_segments(open_stream(spark, path, schema), ts, keys, size, delay, value)
          .writeStream.outputMode("append").format("parquet")
          .option("checkpointLocation", out + "/_checkpoint")
          .option("path", out + "/data")

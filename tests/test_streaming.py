@@ -14,3 +14,33 @@ def test_stream_equals_closed_batch_windows(spark, small_dir):
     g = rows(got, "window_start", "event_type", "n")
     r = sorted((a, c, d) for a, _, c, d, *_ in ref)
     assert g == r and len(g) > 0
+
+
+def _batch(events):
+    import datetime
+    last = events.agg(F.max("ts")).first()[0] - datetime.timedelta(hours=1)
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return w.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("e"), "event_type", "n").filter(F.col("e") <= F.lit(last)).drop("e")
+
+
+def test_stream_over_overlapping_files_and_folders(spark, small_dir, tmp_path):
+    """Four part files whose times overlap, as one table folder, give the batch answer."""
+    from segment_lab.plans.q_models import EVENTS_SCHEMA
+    from segment_lab.streaming import run_stream_segments
+    events = spark.read.parquet(f"{small_dir}/events.parquet")
+    folder = str(tmp_path / "events.parquet")
+    events.repartition(4, "event_id").write.parquet(folder)
+    want = rows(_batch(events), "window_start", "event_type", "n")
+    for path in (folder, f"{small_dir}/events.parquet"):
+        got = run_stream_segments(spark, path, EVENTS_SCHEMA, "ts", ["event_type"], "6 hours", "1 hour", "t")
+        assert rows(got, "window_start", "event_type", "n") == want and len(want) > 0
+
+
+def test_scratch_is_deleted(spark):
+    import os
+    from segment_lab.session import drop_scratch, scratch_path
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert os.path.exists(path.removeprefix("file:"))
+    drop_scratch()
+    assert not os.path.exists(path.removeprefix("file:"))
