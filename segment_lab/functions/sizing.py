@@ -1,28 +1,17 @@
-"""Size-checked broadcast hints.
-
-A broadcast side is copied to every executor, so it is hinted only after a
-row count of at most ``max_rows + 1`` rows proves it small.  Beyond the
-bound the hint is dropped and the planner picks a shuffle join (AQE may
-still convert it at run time from measured sizes).
-"""
+"""Driver results that must be small."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-BROADCAST_MAX_ROWS = 200_000
-
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
+def checked_collect(df: DataFrame, max_cells: int, what: str, width: int = 1) -> list:
+    """Collect a result of at most ``max_cells`` values (``width`` a row), or fail clearly.
 
-def checked_collect(df: DataFrame, max_rows: int, what: str) -> list:
-    """Collect a result that must be small (model-sized), or fail clearly."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows; refusing to collect")
+    The bound is on values, and at most one row beyond it is fetched.
+    """
+    most = max(1, max_cells // max(1, width))
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what}: more than {max_cells} values; refusing to collect")
     return rows
