@@ -1,7 +1,7 @@
 """Cross-validated classification producing a scored table.
 
 For each fold i the model is fitted on ``fold != i`` and applied to
-``fold == i``; the k scored slices are unioned.  The input is persisted once
+``fold == i``; the k scored slices are unioned.  The prepared input is checkpointed once
 so the k fits do not re-read and re-prepare the data.  Balanced class
 weights are computed per training fold (after optional resampling).
 """
@@ -16,14 +16,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .prep import undersample, with_class_weights
+from ..session import materialize
+from .prep import mixed_pipeline, undersample
 
 
 def make_model(kind: str = "log", features: str = "features", label: str = "__y",
                weight: str = "weight", seed: int = 1987, n_rows: float | None = None):
     """Estimator matching the reference's settings.
 
-    ``log``: multinomial L2 logistic regression, C = 1 -> regParam = 1/sum(w)
+    ``log``: L2 logistic regression (binomial for two classes, else multinomial), C = 1 -> regParam = 1/sum(w)
     (scikit-learn's loss is C * sum(w * loss) + 0.5 * ||b||^2; Spark's is the
     weighted mean loss + regParam/2 ||b||^2), no internal standardisation,
     2,000 iterations, tolerance 1e-4 (the reference's default; Spark's own
@@ -34,7 +35,7 @@ def make_model(kind: str = "log", features: str = "features", label: str = "__y"
         reg = 1.0 / n_rows if n_rows else 0.0
         return LogisticRegression(featuresCol=features, labelCol=label, weightCol=weight,
                                   maxIter=2000, tol=1e-4, regParam=reg, elasticNetParam=0.0,
-                                  standardization=False, family="multinomial")
+                                  standardization=False, family="auto")
     if kind == "rf":
         return RandomForestClassifier(featuresCol=features, labelCol=label, weightCol=weight,
                                       numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30,
@@ -44,6 +45,18 @@ def make_model(kind: str = "log", features: str = "features", label: str = "__y"
     raise ValueError(f"unknown model {kind!r}")
 
 
+def balanced(train: DataFrame, label_idx: str, k: int):
+    """``train`` with a balanced ``weight`` column, and the sum of the weights.
+
+    The indexed label picks its class's weight from an array of ``k`` values,
+    so no row is shuffled for it.
+    """
+    counts = {int(r[0]): r[1] for r in train.groupBy(label_idx).agg(F.count(F.lit(1))).collect()}  # at most k rows
+    n, present = sum(counts.values()), len(counts)
+    weights = F.lit([float(n / (present * counts[c])) if c in counts else 0.0 for c in range(k)])
+    return train.withColumn("weight", F.get(weights, F.col(label_idx).cast("int"))), float(n)
+
+
 def oof_predictions(df: DataFrame, label: str, vec: str, id_col: str, fold: str = "fold",
                     model: str = "log", resample: str | None = None, prep: str = "fold",
                     seed: int = 1987, return_models: bool = False, only_folds: list | None = None):
@@ -63,7 +76,7 @@ def oof_predictions(df: DataFrame, label: str, vec: str, id_col: str, fold: str
     if prep == "global":
         base = StandardScaler(inputCol="__x", outputCol="__xs", withMean=True, withStd=True) \
             .fit(base).transform(base).drop("__x").withColumnRenamed("__xs", "__x")
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    base = materialize(base)  # the k fits and the scoring read the prepared rows; nothing stays cached
     folds = [r[0] for r in base.select("fold").distinct().orderBy("fold").collect()]
     if only_folds is not None:        # e.g. just the last fold's model, for explanations
         folds = [f for f in folds if f in set(only_folds)]
@@ -77,8 +90,8 @@ def oof_predictions(df: DataFrame, label: str, vec: str, id_col: str, fold: str
             raise ValueError(f"unsupported resample {resample!r}")
         # Iterative fits make many passes over the training rows: keep this
         # fold's prepared rows (resampled, weighted) and release them after.
-        train = with_class_weights(train, "__y", "weight").persist(StorageLevel.MEMORY_AND_DISK)
-        n_w = train.agg(F.sum("weight")).first()[0]
+        train, n_w = balanced(train, "__y", len(labels))
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
         stages = []
         feat = "__x"
         if prep == "fold":
@@ -97,3 +110,28 @@ def oof_predictions(df: DataFrame, label: str, vec: str, id_col: str, fold: str
     conv = IndexToString(inputCol="prediction", outputCol="y_pred", labels=labels)
     out = conv.transform(out).select("id", "fold", "y_true", "y_pred", "probability")
     return (out, models, labels) if return_models else out
+
+
+def oof_mixed(df: DataFrame, label: str, numeric: list[str], categorical: list[str], id_col: str, fold: str = "fold",
+              model: str = "log", seed: int = 1987) -> DataFrame:
+    """Out-of-fold predictions from numeric and categorical columns (the track pipeline).
+
+    Scaling and one-hot encoding are fitted inside each training fold; the
+    balanced class weights come from all rows.
+    """
+    base = df.withColumn("y_true", F.col(label).cast("string")).withColumn("id", F.col(id_col))
+    indexer = StringIndexer(inputCol="y_true", outputCol="__y", stringOrderType="alphabetAsc").fit(base)
+    labels = list(indexer.labels)
+    base, _ = balanced(indexer.transform(base), "__y", len(labels))
+    base = materialize(base.select("id", F.col(fold).alias("fold"), "y_true", "__y", "weight", *numeric, *categorical))
+    folds = [r[0] for r in base.select("fold").distinct().orderBy("fold").collect()]
+    out = None
+    for i in folds:
+        train = base.filter(F.col("fold") != i).persist(StorageLevel.MEMORY_AND_DISK)
+        n_w = train.agg(F.sum("weight")).first()[0]
+        prep = mixed_pipeline(numeric, categorical, "features")
+        fitted = Pipeline(stages=[*prep.getStages(), make_model(model, "features", "__y", "weight", seed, n_w)]).fit(train)
+        train.unpersist()
+        part = fitted.transform(base.filter(F.col("fold") == i)).select("id", "fold", "y_true", "prediction", vector_to_array("probability").alias("probability"))
+        out = part if out is None else out.unionByName(part)
+    return IndexToString(inputCol="prediction", outputCol="y_pred", labels=labels).transform(out).select("id", "fold", "y_true", "y_pred", "probability")

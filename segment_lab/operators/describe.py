@@ -15,8 +15,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ordinal
-from ..functions.sizing import bounded_broadcast
+from .ordered import running_sums
+from .joins import salted_join
 
 
 def _g(x) -> list[str]:
@@ -106,11 +106,13 @@ def topk(df: DataFrame, by, weight: str, tiebreak: list[str] | str, k: int,
 
     ``row_number() <= k`` lets Spark insert a partial window-group limit
     before the shuffle, so each task sends at most k rows per group.
-    ``by=None`` ranks over the whole table.
+    ``by=None`` ranks over the whole table: the best k rows are taken first
+    (every task keeps k), and only those are numbered.
     """
     order = [F.col(weight).desc()] + [F.col(t).asc() for t in _g(tiebreak)]
     if by is None:
-        return df.orderBy(*order).limit(k).withColumn(name, F.lit(None).cast("int"))
+        best = df.orderBy(*order).limit(k)
+        return best.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
     w = Window.partitionBy(*_g(by)).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
@@ -119,10 +121,10 @@ def priority_lookup(counts: DataFrame, priority: DataFrame, group: str = "group"
                     token: str = "token", rank: str = "priority") -> DataFrame:
     """For each token, the first group (by priority) that contains it.
 
-    The priority table has one row per group and is broadcast once its size
-    is checked.
+    The priority table has one row per group; a group's tokens are dealt
+    over many tasks by a salted join.
     """
-    j = counts.select(group, token).join(bounded_broadcast(priority.select(group, rank)), group)
+    j = salted_join(counts.select(group, token), priority.select(group, rank), group)
     return j.groupBy(token).agg(F.min_by(F.col(group), F.col(rank)).alias(group))
 
 
@@ -297,32 +299,34 @@ def group_quantiles(df: DataFrame, by, cols: list[str], qs=(0.25, 0.5, 0.75),
         return agg.select(*keys, "feature", F.explode(F.arrays_zip(
             F.array(*[F.lit(q) for q in qlist]).alias("q"), F.col("vals").alias("value"))).alias("z")) \
                   .select(*keys, "feature", F.col("z.q").alias("q"), F.col("z.value").alias("value"))
-    # exact: rank every value inside (group, feature); ties broken by value only
-    # (equal values are interchangeable for order statistics).
-    ranked = ordinal(long.withColumn("__u", F.monotonically_increasing_id()),
-                     [*keys, "feature"], ["v", "__u"], "rk", start=0)
-    sizes = long.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("cnt"))
-    targets = sizes.select(*keys, "feature", "cnt", F.explode(F.array(*[F.lit(q) for q in qlist])).alias("q")) \
-        .withColumn("pos", F.col("q") * (F.col("cnt") - 1)) \
-        .withColumn("lo", F.floor("pos").cast("long")) \
-        .withColumn("hi", F.ceil("pos").cast("long"))
-    picks = targets.select(*keys, "feature", "q", "pos", F.explode(F.array_distinct(
-        F.array("lo", "hi"))).alias("rk"))
-    vals = ranked.select(*keys, "feature", "rk", "v").join(picks, [*keys, "feature", "rk"])
-    out = vals.groupBy(*keys, "feature", "q").agg(
-        F.min_by("v", "rk").alias("v_lo"), F.max_by("v", "rk").alias("v_hi"),
-        F.min("rk").alias("lo"), F.first("pos").alias("pos"))
+    # exact: count equal values first, then find the values whose running count
+    # covers a target rank.  A row of counts meets only the few targets of its
+    # own group and feature, so nothing but the counts is ever shuffled.
+    counts = long.groupBy(*keys, "feature", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_sums(counts, [*keys, "feature"], ["v"], {"upto": F.col("n")})
+    sizes = counts.groupBy(*keys, "feature").agg(F.sum("n").alias("cnt"))
+    known = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    named = sizes.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("feature").alias("__feature"), "cnt")
+    on = F.col("feature") == F.col("__feature")
+    for c in known:
+        on = on & c
+    pos = F.lit(0.0) + F.col("q") * (F.col("cnt") - 1)
+    hit = ranked.join(named, on).select(*keys, "feature", "v", "n", "upto", "cnt",
+                                        F.explode(F.array(*[F.lit(q) for q in qlist])).alias("q")) \
+        .withColumn("pos", pos) \
+        .filter((F.floor("pos") < F.col("upto")) & (F.ceil("pos") >= F.col("upto") - F.col("n")))
+    out = hit.groupBy(*keys, "feature", "q").agg(F.min("v").alias("v_lo"), F.max("v").alias("v_hi"), F.first("pos").alias("pos"))
     return out.select(*keys, "feature", "q",
-                      (F.col("v_lo") + (F.col("pos") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo")))
-                      .alias("value"))
+                      (F.col("v_lo") + (F.col("pos") - F.floor("pos")) * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
 
 
 def group_density(df: DataFrame, by, col: str, points: int = 100) -> DataFrame:
     """Gaussian kernel density on an even grid per group (A17, violin data).
 
     Bandwidth is Scott's rule, h = std * n^(-1/5); the grid spans the group's
-    [min, max] in ``points`` steps.  Each row adds to every grid point of its
-    group inside the same task (partial aggregation), so only
+    [min, max] in ``points`` steps.  Rows are first counted per (group,
+    value): a hot group then holds its distinct values only, dealt over many
+    tasks, and each adds to every grid point inside its own task, so only
     groups x points partial sums are shuffled.
     """
     keys = _g(by)
@@ -332,9 +336,12 @@ def group_density(df: DataFrame, by, col: str, points: int = 100) -> DataFrame:
     st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))) \
            .filter(F.col("h") > 0)
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
-    j = base.join(st, keys).select(*keys, "v", "n", "h", "mn", "mx", grid)
+    values = base.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("times"))
+    key = F.to_json(F.struct(*keys))
+    j = salted_join(values.withColumn("__key", key), st.withColumn("__key", key).drop(*keys), "__key") \
+        .select(*keys, "v", "times", "n", "h", "mn", "mx", grid)
     x = F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("i") / F.lit(points - 1)
     z = (x - F.col("v")) / F.col("h")
     k = F.exp(F.lit(-0.5) * z * z) / (F.col("n") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))
-    return (j.groupBy(*keys, "i", "mn", "mx").agg(F.sum(k).alias("density"))
+    return (j.groupBy(*keys, "i", "mn", "mx").agg(F.sum(k * F.col("times")).alias("density"))
              .select(*keys, "i", x.alias("x"), "density"))

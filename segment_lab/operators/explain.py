@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.randomness import seeded_hash
+
 
 def coef_importance(model, names: list[str], labels: list[str], n: int = 5) -> DataFrame:
     """Top ``n`` coefficients by |value| per class of a fitted LR model (M5).
@@ -59,7 +61,7 @@ def shap_linear(df: DataFrame, model, vec: str, names: list[str], labels: list[s
 
 
 def permutation_importance(df: DataFrame, model, vec: str, label_idx: str, names: list[str],
-                           seed: int = 1987) -> DataFrame:
+                           id_col: str, seed: int = 1987) -> DataFrame:
     """Accuracy drop when one feature is permuted (M7, forest attribution re-aim).
 
     Each feature's copy takes the value of that feature from the row whose
@@ -70,9 +72,9 @@ def permutation_importance(df: DataFrame, model, vec: str, label_idx: str, names
     from .ordered import ordinal
     d = len(names)
     base = df.select(F.col(label_idx).alias("__y"), vector_to_array(F.col(vec)).alias("__x"),
-                     F.md5(F.concat(F.lit(f"{seed}:"), F.monotonically_increasing_id().cast("string"))).alias("__h"))
+                     seeded_hash(seed, id_col).alias("__h"), F.col(id_col).alias("__id"))
     base = base.withColumn("__one", F.lit(0))
-    r = ordinal(base, "__one", ["__h"], "__rk")
+    r = ordinal(base, "__one", ["__h", "__id"], "__rk")
     n = r.count()
     donor = r.select(((F.col("__rk") + 1) % n).alias("__rk"), F.col("__x").alias("__dx"))
     j = r.join(donor, "__rk")
@@ -86,3 +88,32 @@ def permutation_importance(df: DataFrame, model, vec: str, label_idx: str, names
     acc = scored.groupBy("feature").agg(F.avg(F.when(F.col("prediction") == F.col("__y"), 1.0).otherwise(0.0)).alias("acc"))
     ref = acc.filter(F.col("feature") == "__none__").select("acc").scalar()
     return acc.filter(F.col("feature") != "__none__").select("feature", (ref - F.col("acc")).alias("importance"))
+
+
+def impurity_importance(forest, names: list[str]) -> DataFrame:
+    """Impurity-based importance of each feature of a fitted forest (M7), with its rank."""
+    from pyspark.sql import SparkSession
+    values = forest.featureImportances.toArray()
+    order = sorted(range(len(names)), key=lambda j: (-values[j], names[j]))
+    return SparkSession.getActiveSession().createDataFrame(
+        [(names[j], float(values[j]), r + 1) for r, j in enumerate(order)], "feature string, importance double, rank int")
+
+
+def shap_rows(df: DataFrame, model, vec: str, id_col: str, labels: list[str]) -> DataFrame:
+    """Per-row linear SHAP values (M6): ``(id, cls, phi, base, margin)``, one row per row and class.
+
+    phi_j = coef_j * (x_j - mean_j); a binomial model has one margin, that of
+    its second label.
+    """
+    from pyspark.ml.stat import Summarizer
+    mat, icpt = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    shown = labels if mat.shape[0] == len(labels) else labels[1:]
+    mu = df.select(Summarizer.mean(F.col(vec)).alias("m")).first()["m"].toArray()
+    x = vector_to_array(F.col(vec))
+    parts = []
+    for i, lab in enumerate(shown):
+        coef = F.lit([float(v) for v in mat[i]])
+        phi = F.zip_with(F.zip_with(x, F.lit([float(v) for v in mu]), lambda a, b: a - b), coef, lambda a, b: a * b)
+        margin = F.aggregate(F.zip_with(x, coef, lambda a, b: a * b), F.lit(float(icpt[i])), lambda a, b: a + b)
+        parts.append(F.struct(F.lit(lab).alias("cls"), phi.alias("phi"), F.lit(float(icpt[i] + mat[i] @ mu)).alias("base"), margin.alias("margin")))
+    return df.select(F.col(id_col).alias("id"), F.explode(F.array(*parts)).alias("s")).select("id", "s.*")

@@ -65,3 +65,16 @@ def track_segment_join(tracks: DataFrame, segments: DataFrame, track_key: str,
         else segments.withColumnRenamed(segment_key, "__seg_key")
     j = tracks.join(s, tracks[track_key] == s["__seg_key"], "left")
     return j.drop("__seg_key")
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int | None = None) -> DataFrame:
+    """Equi-join whose ``big`` side may hold most of its rows under one key.
+
+    Every row of ``small`` (unique keys, a row per class, group or category)
+    is repeated once per salt, and a big row picks its salt by a hash of its
+    own values, so one key's rows meet their partner in ``salts`` places.
+    """
+    n = salts or int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.pmod(F.xxhash64(*big.columns), F.lit(n)).cast("int")
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return big.withColumn("__salt", own).join(copies, [key, "__salt"], how).drop("__salt")

@@ -36,14 +36,15 @@ def anova(mom: DataFrame, nulls: str = "drop") -> DataFrame:
     """
     m = mom.filter(F.col("n") > 0)
     ssw_term = F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0))
+    # plain sums: the spread between groups around the smallest group mean,
+    # which keeps the difference of squares small
+    low = F.min("mean").over(Window.partitionBy("feature"))
+    m = m.withColumn("__d", F.col("mean") - low)
     per = m.groupBy("feature").agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"),
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"),
-        F.sum(ssw_term).alias("ssw"),
-        F.sum("n_null").alias("n_null"),
-        F.collect_list(F.struct("n", "mean")).alias("groups"))
-    ssb = F.aggregate("groups", F.lit(0.0),
-                      lambda acc, g: acc + g["n"] * (g["mean"] - F.col("grand")) * (g["mean"] - F.col("grand")))
+        F.sum(F.col("n") * F.col("__d")).alias("s1"), F.sum(F.col("n") * F.col("__d") * F.col("__d")).alias("s2"),
+        F.sum(ssw_term).alias("ssw"), F.sum("n_null").alias("n_null"))
+    ssb = F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("N"), F.lit(0.0))
     out = per.select("feature", "k", "N", ssb.alias("ssb"), "ssw", "n_null")
     dfb = (F.col("k") - 1).cast("double")
     dfw = (F.col("N") - F.col("k")).cast("double")

@@ -4,28 +4,27 @@ A plain ``Window.partitionBy(group).orderBy(order)`` sends every row of a group
 to one task; one hot group holding a third of the rows would then be sorted
 and scanned by a single task.  Instead:
 
-1. range-partition on ``(group, order)`` into ``n`` blocks (Spark samples the
-   keys, so a hot group is split over many blocks);
-2. take the running sum inside each ``(group, block)`` with a window, which is
-   bounded by one block;
-3. add, per ``(group, block)``, the total of the same group in earlier blocks.
-   Only a block's *first* group can continue from earlier blocks, so the
-   offset table has at most ``n`` rows and is broadcast with a proven bound.
+1. one pass over the order columns alone finds cut points that split all rows
+   into about ``n`` equal blocks, and a block number becomes an expression of
+   a row's own values (the same row always gets the same block);
+2. running sums are taken inside each ``(group, block)`` by a window, the only
+   exchange of the rows;
+3. the sums of each ``(group, block)`` (aggregated before their shuffle) give
+   what the group holds in earlier blocks, and are added.
 
 ``order`` must be a total order inside a group (callers add a tie-breaker).
-
-The range-partitioned table is persisted once and both branches (local sums,
-block totals) read it: Spark seeds its range-boundary sample with the RDD id,
-so two separate executions of the same exchange may choose different
-boundaries.  A recomputed cached partition re-reads the same shuffle (fixed
-partitioner), so block ids stay consistent after an executor loss.
+Rows with a NULL group form one group of their own; NULL order values come
+first.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Leading bytes of a text that its block depends on (exact in a double).
+PREFIX_BYTES = 6
 
 
 def _names(x) -> list[str]:
@@ -34,8 +33,70 @@ def _names(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def _order_cols(order) -> list[Column]:
-    return [F.col(o) if isinstance(o, str) else o for o in _names(order) if True]
+def _rank_value(df: DataFrame, col: str) -> Column:
+    """A double that never decreases along the order of ``col``."""
+    kind, c = df.schema[col].dataType, F.col(col)
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
+        return F.conv(head, 16, 10).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return c.cast("timestamp").cast("double")
+    return c.cast("double")
+
+
+def _cuts(df: DataFrame, order: list[str], n: int) -> list[tuple[float, float]]:
+    """At most ``n - 1`` cut points (first, second order value), ascending.
+
+    A first value that many rows share is cut again by the second column.
+    """
+    low = float("-inf")
+    shares = [(k + 1) / n for k in range(n - 1)]
+    if not shares:
+        return []
+    first = _rank_value(df, order[0])
+    accuracy = max(10_000, 20 * n)
+    found = df.agg(F.percentile_approx(first, shares, accuracy)).first()[0] or []
+    times: dict[float, int] = {}
+    for v in found:
+        times[v] = times.get(v, 0) + 1
+    heavy = [v for v, k in times.items() if k > 1]
+    cuts = [(v, low) for v in times]
+    if heavy and len(order) > 1:
+        second = _rank_value(df, order[1])
+        parts = df.select(first.alias("a"), second.alias("b")).where(F.col("a").isin(heavy)).groupBy("a") \
+            .agg(F.percentile_approx("b", shares, accuracy).alias("q")).collect()  # at most n / 2 rows
+        for r in parts:
+            k = times[r["a"]]
+            picks = r["q"] or []
+            cuts += [(r["a"], b) for b in {picks[(j * len(picks)) // k] for j in range(1, k)} if b is not None] if picks else []
+    return sorted(set(cuts))
+
+
+def block(df: DataFrame, order: list[str], n: int) -> Column:
+    """Number of cut points at or before a row: a binary search among them."""
+    cuts = _cuts(df, order, n)
+    if not cuts:
+        return F.lit(0)
+
+    def literal(values):
+        return F.lit([float(v) for v in values])
+    a, b = literal(c[0] for c in cuts), literal(c[1] for c in cuts)
+    x = F.coalesce(_rank_value(df, order[0]), F.lit(float("-inf")))
+    y = F.coalesce(_rank_value(df, order[1]), F.lit(float("-inf"))) if len(order) > 1 else F.lit(float("-inf"))
+    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+
+    def further(at, step):
+        ca, cb = F.get(a, at + step - 1), F.get(b, at + step - 1)
+        return F.when((at + step <= len(cuts)) & ((ca < x) | ((ca == x) & (cb <= y))), at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), further)
+
+
+def _group_key(df: DataFrame, col: str) -> Column:
+    """The group as a text that is never NULL, so NULL rows meet in joins."""
+    c = F.col(col)
+    if isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType)):
+        c = c + F.lit(0.0)  # -0.0 and 0.0 are one group
+    return F.coalesce(c.cast("string"), F.lit("\x00null"))
 
 
 def running_sums(df: DataFrame, group, order, values: dict[str, Column],
@@ -46,31 +107,20 @@ def running_sums(df: DataFrame, group, order, values: dict[str, Column],
     keeps every input column plus one column per entry.
     """
     group, order = _names(group), _names(order)
-    spark = df.sparkSession
-    n = n_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = n_blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tmp = {name: f"__v_{i}" for i, name in enumerate(values)}
-    base = df.select("*", *[expr.alias(tmp[name]) for name, expr in values.items()])
-    ranged = (base.repartitionByRange(n, *[F.col(c) for c in group + order])
-                  .withColumn("__blk", F.spark_partition_id())
-                  .persist(StorageLevel.MEMORY_AND_DISK))
-    w_local = (Window.partitionBy(*group, "__blk").orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.select("*", *[F.sum(t).over(w_local).alias(t + "_loc")
-                                 for t in tmp.values()])
-    # Block totals per (group, block); the hot group has at most n rows here.
-    tot = ranged.groupBy(*group, "__blk").agg(*[F.sum(t).alias(t + "_tot") for t in tmp.values()])
-    w_blk = Window.partitionBy(*group).orderBy("__blk")
-    offs = (tot.select(*group, "__blk",
-                       F.row_number().over(w_blk).alias("__pos"),
-                       *[(F.sum(t + "_tot").over(w_blk.rowsBetween(Window.unboundedPreceding, -1)))
-                         .alias(t + "_off") for t in tmp.values()])
-               .filter(F.col("__pos") > 1)     # groups continuing from an earlier block
-               .drop("__pos"))
-    joined = local.join(F.broadcast(offs), on=[*group, "__blk"], how="left")
-    out_cols = [F.col(c) for c in df.columns]
-    out_cols += [(F.col(t + "_loc") + F.coalesce(F.col(t + "_off"), F.lit(0))).alias(name)
-                 for name, t in tmp.items()]
-    return joined.select(*out_cols)
+    keys = [f"__g_{i}" for i in range(len(group))] + ["__blk"]
+    base = df.select("*", *[expr.alias(tmp[name]) for name, expr in values.items()],
+                     *[_group_key(df, g).alias(k) for g, k in zip(group, keys)], block(df, order, n).alias("__blk"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = base.select("*", *[F.sum(t).over(inside).alias(t + "_loc") for t in tmp.values()])
+    totals = base.groupBy(*keys).agg(*[F.sum(t).alias(t + "_tot") for t in tmp.values()])
+    earlier = Window.partitionBy(*keys[:-1]).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, *[F.sum(t + "_tot").over(earlier).alias(t + "_off") for t in tmp.values()])
+    joined = local.join(offsets, keys, "left")
+    out = [F.col(c) for c in df.columns]
+    out += [(F.col(t + "_loc") + F.coalesce(F.col(t + "_off"), F.lit(0))).alias(name) for name, t in tmp.items()]
+    return joined.select(*out)
 
 
 def ordinal(df: DataFrame, group, order, name: str = "idx", start: int = 0,

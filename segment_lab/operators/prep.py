@@ -8,12 +8,13 @@ many tasks.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, StandardScaler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.randomness import seeded_hash
 from .describe import scalars
+from .joins import salted_join
 from .ordered import ordinal
 
 
@@ -35,38 +36,27 @@ def zscore(df: DataFrame, cols: list[str], ddof: int = 0, suffix: str = "") -> D
     return out
 
 
-def scaler_pipeline(cols: list[str], out: str = "features") -> Pipeline:
-    """Assembler + StandardScaler(withMean, withStd) for ML pipelines.
-
-    Spark's scaler uses the sample std (n-1); the expression path above
-    matches the reference's population std exactly.
-    """
-    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="__raw", handleInvalid="keep"),
-                            StandardScaler(inputCol="__raw", outputCol=out, withMean=True, withStd=True)])
-
-
 def mixed_pipeline(numeric: list[str], categorical: list[str], out: str = "features") -> Pipeline:
     """Numeric scaling + one-hot of categoricals, unknown -> all zeros.
 
-    Categories are indexed alphabetically; the encoder's extra slot for
-    unseen values is kept by ``handleInvalid="keep"`` and then never set for
-    known values, so an unseen category encodes as all zeros in the first
-    n slots.
+    Categories are indexed alphabetically (booleans by their text).  Indexer
+    and encoder keep a last slot for values not seen in the fit; it is sliced
+    off, so an unseen or missing category is all zeros.
     """
     stages = []
-    idx_cols, oh_cols = [], []
-    for c in categorical:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        idx_cols.append(f"{c}__idx")
-        oh_cols.append(f"{c}__oh")
-    if categorical:
-        stages.append(OneHotEncoder(inputCols=idx_cols, outputCols=oh_cols, dropLast=True,
-                                    handleInvalid="keep"))
+    parts = []
     if numeric:
         stages.append(VectorAssembler(inputCols=numeric, outputCol="__num", handleInvalid="keep"))
         stages.append(StandardScaler(inputCol="__num", outputCol="__num_s", withMean=True, withStd=True))
-    stages.append(VectorAssembler(inputCols=(["__num_s"] if numeric else []) + oh_cols, outputCol=out))
+        parts.append("__num_s")
+    for c in categorical:
+        stages.append(SQLTransformer(statement=f"SELECT *, CAST(`{c}` AS STRING) AS `{c}__str` FROM __THIS__"))
+        stages.append(StringIndexer(inputCol=f"{c}__str", outputCol=f"{c}__idx", handleInvalid="keep",
+                                    stringOrderType="alphabetAsc"))
+        # the indexer's own extra index is the encoder's last category, which dropLast leaves without a slot
+        stages.append(OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}__oh", dropLast=True, handleInvalid="error"))
+        parts.append(f"{c}__oh")
+    stages.append(VectorAssembler(inputCols=parts, outputCol=out))
     return Pipeline(stages=stages)
 
 
@@ -79,8 +69,8 @@ def one_hot_long(train: DataFrame, apply: DataFrame, id_col: str, cols: list[str
         cats = train.select(F.col(c).alias("v")).distinct().filter(F.col("v").isNotNull())
         # slot = number of training categories sorted before v (a small table)
         ranked = ordinal(cats.withColumn("__g", F.lit(0)), "__g", ["v"], "slot").drop("__g")
-        part = (apply.select(F.col(id_col).alias("id"), F.col(c).alias("v"))
-                .join(ranked, "v", "left")   # AQE broadcasts it once its measured size is small
+        # a category may hold most rows: they meet its slot in many tasks
+        part = (salted_join(apply.select(F.col(id_col).alias("id"), F.col(c).alias("v")), ranked, "v", "left")
                 .select("id", F.lit(c).alias("feature"), F.col("slot").cast("int").alias("slot")))
         out = part if out is None else out.unionByName(part)
     return out
@@ -96,12 +86,10 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Attach the balanced weight of each row's class.
 
-    The weight table has one row per class but is an aggregate of ``df``;
-    counting it before a hint would cost a pass over ``df``, so the join is
-    left to AQE, which broadcasts it from its measured shuffle size.
+    A class may hold most rows: they meet their weight in many tasks.
     """
-    w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(w, label)
+    w = class_weights(df, label).select(F.col(label).alias("__class"), F.col("weight").alias(out))
+    return salted_join(df.withColumn("__class", F.col(label)), w, "__class").drop("__class")
 
 
 def undersample(df: DataFrame, label: str, id_col: str, seed: int = 1987) -> DataFrame:

@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 
 from ..functions.special import mcnemar_exact_udf
 from .describe import scalars
-from .ordered import running_sums
+from ..functions.sizing import checked_collect
 from ..session import materialize
+from .joins import salted_join
+from .ordered import running_sums
 
 MAX_MODEL_CELLS = 1_000_000   # bound on k x d values a centroid model may hold
 
@@ -26,57 +28,66 @@ def _vec(col: str) -> Column:
     return F.transform(F.col(col), lambda x: x.cast("double"))
 
 
-def class_centroids(df: DataFrame, vec: str, label: str) -> list[tuple[str, list[float]]]:
-    """Mean vector per class, sorted by label; a model-sized result (k x d).
+def class_centroids(df: DataFrame, vec: str, label: str, fold: str | None = None) -> dict[int, list[tuple[str, list[float]]]]:
+    """Mean vector per class, sorted by label, for each fold's training rows; a model-sized result.
 
-    ``Summarizer.mean`` aggregates vectors per class on Spark (partial
-    aggregation per task); only k mean vectors reach the driver, and k x d is
-    checked against a bound.
+    Vectors are summed per (class, fold) on Spark with partial aggregation;
+    the centroid that scores fold f is the mean over the class's rows outside
+    f.  Without ``fold`` there is one model, of all rows, under key 0.
     """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
     v = F.col(vec)
     if isinstance(df.schema[vec].dataType, T.ArrayType):
         v = array_to_vector(_vec(vec))
-    per = df.select(F.col(label).cast("string").alias("lab"), v.alias("__v")) \
-            .groupBy("lab").agg(Summarizer.mean(F.col("__v")).alias("c"))
-    rows = per.limit(MAX_MODEL_CELLS + 1).collect()
-    k, d = len(rows), (len(rows[0]["c"]) if rows else 0)
-    if k * d > MAX_MODEL_CELLS:
-        raise ValueError(f"centroid model too large: {k} x {d}")
-    return sorted((r["lab"], [float(x) for x in r["c"].toArray()]) for r in rows)
+    rows = df.select(F.col(label).cast("string").alias("lab"), (F.col(fold) if fold else F.lit(0)).cast("int").alias("f"), v.alias("__v"))
+    first = rows.select("__v").first()
+    if first is None:
+        return {}
+    per = rows.groupBy("lab", "f").agg(Summarizer.sum(F.col("__v")).alias("s"), F.count(F.lit(1)).alias("n"))
+    got = checked_collect(per, MAX_MODEL_CELLS, "centroid model", len(first[0]))
+    parts = {(r["lab"], r["f"]): (r["s"].toArray(), r["n"]) for r in got}
+    labels, folds = sorted({k[0] for k in parts}), sorted({k[1] for k in parts})
+    out = {}
+    for f in folds:
+        model = []
+        for lab in labels:
+            kept = [parts[lab, g] for g in folds if (lab, g) in parts and (fold is None or g != f)]
+            if kept:  # a class with all its rows in this fold cannot be predicted there
+                n = sum(k for _, k in kept)
+                model.append((lab, [float(x) for x in sum(x for x, _ in kept) / n]))
+        out[f] = model
+    return out
 
 
 def nearest_centroid_scores(df: DataFrame, id_col: str, vec: str, label: str,
-                            centroids: list[tuple[str, list[float]]],
-                            fold: Column | None = None) -> DataFrame:
-    """Score rows against centroids: y_pred = nearest (ties to the lower label).
+                            centroids: dict[int, list[tuple[str, list[float]]]], fold: str | None = None) -> DataFrame:
+    """Score rows against their fold's centroids: y_pred = nearest (ties to the lower label).
 
-    probability = softmax(-squared distance).  Dense k x d arithmetic per row
-    runs in numpy on Arrow batches (``mapInPandas``); the centroid matrix is
-    model-sized and shipped with the function.
+    probability = softmax(-squared distance), in the order of the model's
+    labels.  Dense k x d arithmetic per row runs in numpy on Arrow batches
+    (``mapInPandas``); the centroid matrices are model-sized and shipped with
+    the function.
     """
-    labels = [lab for lab, _ in centroids]
-    cmat = np.array([c for _, c in centroids], dtype="float64")
+    models = {f: (np.array([x for x, _ in m], dtype=object), np.array([c for _, c in m], dtype="float64")) for f, m in centroids.items()}
     src = df.select(F.col(id_col).alias("id"), F.col(label).cast("string").alias("y_true"),
-                    (fold if fold is not None else F.lit(0)).cast("int").alias("fold"),
+                    (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"),
                     _vec(vec).alias("x"))
 
     def score(batches):
-        lab_arr = np.array(labels, dtype=object)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["x"].to_numpy()).astype("float64")
-            dist = np.empty((len(x), len(cmat)))
-            for j in range(len(cmat)):
-                diff = x - cmat[j]
-                dist[:, j] = np.einsum("ij,ij->i", diff, diff)
-            best = dist.argmin(axis=1)            # first minimum -> lowest label
-            e = np.exp(dist.min(axis=1, keepdims=True) - dist)
-            prob = e / e.sum(axis=1, keepdims=True)
-            yield pd.DataFrame({"id": pdf["id"], "fold": pdf["fold"], "y_true": pdf["y_true"],
-                                "y_pred": lab_arr[best], "probability": list(prob)})
+        for all_rows in batches:
+            for f, pdf in all_rows.groupby("fold"):
+                names, cmat = models[f]
+                x = np.stack(pdf["x"].to_numpy()).astype("float64")
+                dist = np.empty((len(x), len(cmat)))
+                for j in range(len(cmat)):
+                    diff = x - cmat[j]
+                    dist[:, j] = np.einsum("ij,ij->i", diff, diff)
+                best = dist.argmin(axis=1)            # first minimum -> lowest label
+                e = np.exp(dist.min(axis=1, keepdims=True) - dist)
+                prob = e / e.sum(axis=1, keepdims=True)
+                yield pd.DataFrame({"id": pdf["id"], "fold": pdf["fold"], "y_true": pdf["y_true"],
+                                    "y_pred": names[best], "probability": list(prob)})
 
     schema = "id long, fold int, y_true string, y_pred string, probability array<double>"
     return src.mapInPandas(score, schema)
@@ -157,40 +168,35 @@ def class_report(scored: DataFrame) -> DataFrame:
     return per.unionByName(macro).unionByName(weighted)
 
 
-MAX_CLASSES = 100_000
-
-
 def sorted_labels(scored: DataFrame) -> list[str]:
-    """Distinct true labels, sorted: model-sized (k values), checked."""
-    labs = scored.select("y_true").distinct().limit(MAX_CLASSES + 1).collect()
-    if len(labs) > MAX_CLASSES:
-        raise ValueError("too many classes for a one-vs-rest evaluation")
+    """Distinct true labels, sorted: model-sized (k values), checked.  Pass the
+    model's own labels to the ROC functions instead where they are known."""
+    labs = checked_collect(scored.select("y_true").distinct(), MAX_MODEL_CELLS, "labels")
     return sorted(r[0] for r in labs)
 
 
-def _class_scores(scored: DataFrame) -> DataFrame:
+def _class_scores(scored: DataFrame, labels: list[str] | None) -> DataFrame:
     """(cls, score, is_pos) per row and class; class k = k-th sorted label."""
-    ls = F.array(*[F.lit(v) for v in sorted_labels(scored)])
+    ls = F.lit(labels if labels is not None else sorted_labels(scored))
     return scored.select("y_true", F.posexplode("probability").alias("k", "score")) \
                  .select(F.element_at(ls, F.col("k") + 1).alias("cls"), "score",
                          (F.col("y_true") == F.element_at(ls, F.col("k") + 1)).alias("is_pos"))
 
 
-def roc_points(scored: DataFrame) -> DataFrame:
+def roc_points(scored: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """One-vs-rest ROC points per class, one per distinct score (M4).
 
     Scores are pre-aggregated to (class, score) counts before the ordered
     running sums; a start point (0, 0) with NULL threshold is added.
     """
-    cs = _class_scores(scored)
+    cs = _class_scores(scored, labels)
     per = cs.groupBy("cls", "score").agg(F.count_if("is_pos").alias("tp"),
                                          F.count_if(~F.col("is_pos")).alias("fp"))
     cum = running_sums(per.withColumn("neg_score", -F.col("score")), "cls", "neg_score",
                        {"cum_tp": F.col("tp"), "cum_fp": F.col("fp")})
-    # class totals from the same (persisted) ordered table: no second pass
-    # over the scores
-    tots = cum.groupBy("cls").agg(F.sum("tp").alias("n_pos"), F.sum("fp").alias("n_neg"))
-    j = cum.join(tots, "cls")
+    # a class may hold most points: they meet its totals in many tasks
+    tots = per.groupBy("cls").agg(F.sum("tp").alias("n_pos"), F.sum("fp").alias("n_neg"))
+    j = salted_join(cum, tots, "cls")
     pts = j.select("cls", F.col("score").alias("threshold"),
                    F.try_divide(F.col("cum_fp").cast("double"), F.col("n_neg").cast("double")).alias("fpr"),
                    F.try_divide(F.col("cum_tp").cast("double"), F.col("n_pos").cast("double")).alias("tpr"))
@@ -199,13 +205,13 @@ def roc_points(scored: DataFrame) -> DataFrame:
     return pts.unionByName(start)
 
 
-def roc_auc(scored: DataFrame) -> DataFrame:
+def roc_auc(scored: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """AUC per class by the trapezoid rule over the ROC points (M4).
 
     A group of rows sharing one score adds fp/N * (TP_before + tp/2)/P, so no
     lag over an ordered window is needed; ties are handled exactly.
     """
-    cs = _class_scores(scored)
+    cs = _class_scores(scored, labels)
     per = cs.groupBy("cls", "score").agg(F.count_if("is_pos").alias("tp"),
                                          F.count_if(~F.col("is_pos")).alias("fp"))
     cum = running_sums(per.withColumn("neg_score", -F.col("score")), "cls", "neg_score",

@@ -36,18 +36,19 @@ def job_status_files(wanted: DataFrame, done: DataFrame, segments: DataFrame,
 
     ``exists``: already in ``done``.  Otherwise ``success`` when the item
     produced at least one full segment, else ``error`` (a file shorter than
-    one segment).  Errors are rows, not task failures.
+    one segment).  ``segments`` holds the number of full segments per item
+    (``n_segments``), or one row per segment.  Errors are rows, not task
+    failures.
     """
     d = done.select(F.col(key)).distinct().withColumn("_done", F.lit(True))
-    n = segments.groupBy(key).agg(F.count(F.lit(1)).alias("n_segments"))
+    n = segments if "n_segments" in segments.columns else segments.groupBy(key).agg(F.count(F.lit(1)).alias("n_segments"))
     w = wanted.select(key).distinct()
-    out = (w.join(d, key, "left").join(n, key, "left")
-           .select(key,
-                   F.coalesce("n_segments", F.lit(0)).alias("n_segments"),
-                   F.when(F.col("_done"), F.lit("exists"))
-                    .when(F.coalesce("n_segments", F.lit(0)) > 0, F.lit("success"))
-                    .otherwise(F.lit("error")).alias("status")))
-    return out
+    return (w.join(d, key, "left").join(n.select(key, "n_segments"), key, "left")
+            .select(key,
+                    F.coalesce("n_segments", F.lit(0)).alias("n_segments"),
+                    F.when(F.col("_done"), F.lit("exists"))
+                     .when(F.coalesce("n_segments", F.lit(0)) > 0, F.lit("success"))
+                     .otherwise(F.lit("error")).alias("status")))
 
 
 def materialise(spark: SparkSession, path: str, build: Callable[[], DataFrame],

@@ -53,21 +53,3 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, DataFrame]:
     """Lazily bind the driver's parquet tables by name (no data is read)."""
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give a scan that feeds heavy per-row work at least one partition per core.
-
-    A file with a single row group is read by one task however large the
-    cluster is.  When the scan yields fewer partitions than
-    ``min_partitions`` (default: the default parallelism) the rows are dealt
-    round-robin; Spark sorts before a round-robin exchange, so a retried task
-    gets the same rows.  A big table already scans as many splits and is left
-    untouched, so this costs nothing at scale.  Use it only in front of
-    expensive row-level work (text cutting, vector scoring): for a cheap
-    aggregation the extra exchange costs more than it saves.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
