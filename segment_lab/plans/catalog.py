@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_basic  # noqa: F401
+from . import q_basic, q_models, q_pipelines, q_stats  # noqa: F401
 from .registry import ORACLES, QUERIES
 
-_OPTIONAL = ["q_stats", "q_models"]
-for _m in _OPTIONAL:
-    try:
-        __import__(f"{__package__}.{_m}")
-    except ModuleNotFoundError as e:  # module not written yet
-        if _m not in str(e):
-            raise
-
 
 def queries():
     return dict(QUERIES)

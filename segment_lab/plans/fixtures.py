@@ -6,8 +6,8 @@ the same derivation as a SQL common table expression for the oracles.
 * tracks   := orders   (track = order, playlist = priority, phase = status,
                          duration = total price, process flag = status <> 'P')
 * ratings  := lineitem aggregated per order (a second rating source)
-* signal   := events   (file = user, sample index = position by (ts, event_id),
-                         channel = event type)
+* signal   := events   (file = user, channel = event type, sample index =
+                         position in the channel by (ts, event_id))
 * texts    := documents (segments of 30 words)
 * classes  := labels    (3-way class low / hi / hi_tox)
 """
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import ordinal
-from ..sources.tables import nan_to_null, spread
+from ..sources.tables import nan_to_null
 
 PHASES = ["F", "O", "P"]
 SEGMENT_WORDS = 30
@@ -65,11 +65,12 @@ def signal(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     s = e.select(F.col("user_id").alias("file"), "ts", "event_id",
                  F.col("event_type").alias("channel"), "value")
-    return ordinal(s, "file", ["ts", "event_id"], "idx", start=0)
+    # samples are numbered per channel, so the channels of a file share their positions
+    return ordinal(s, ["file", "channel"], ["ts", "event_id"], "idx", start=0)
 
 
 SIGNAL_SQL = """signal AS (SELECT user_id AS file, ts, event_id, event_type AS channel, value,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events)"""
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS idx FROM events)"""
 
 
 def classes(spark, d) -> DataFrame:
@@ -84,20 +85,22 @@ CLASSES_SQL = """classes AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'low'
 
 def doc_features(spark, d) -> DataFrame:
     """Per-document text measures joined to the 3-way class (T1-T5 input)."""
-    docs = spread(table(spark, d, "documents"))
+    # labelled texts only: the class joins before any text is split
+    docs = table(spark, d, "documents").select("doc_id", "text").join(classes(spark, d), "doc_id")
     words = F.split(F.col("text"), " ")
-    f = docs.select(
+    return docs.select(
         "doc_id",
         F.length("text").cast("double").alias("chars"),
         F.size(words).cast("double").alias("words"),
         F.try_divide(F.size(F.array_distinct(words)), F.size(words)).alias("unique_ratio"),
         F.try_divide(F.length("text") - F.length(F.translate("text", DIGITS, "")), F.length("text"))
          .alias("digit_share"),
-        F.size(F.split(F.col("text"), "\n")).cast("double").alias("lines"))
-    return f.join(classes(spark, d), "doc_id")
+        F.size(F.split(F.col("text"), "\n")).cast("double").alias("lines"),
+        F.try_divide(F.size(words), F.length("text") - F.length(F.translate("text", DIGITS, ""))).alias("words_per_digit"), "cls")
 
 
-DOC_FEATURES = ["chars", "words", "unique_ratio", "digit_share", "lines"]
+#: The last measure is NULL for a text without a digit.
+DOC_FEATURES = ["chars", "words", "unique_ratio", "digit_share", "lines", "words_per_digit"]
 
 DOC_FEATURES_SQL = """doc_features AS (SELECT d.doc_id,
   length(text)::DOUBLE AS chars,
@@ -105,5 +108,6 @@ DOC_FEATURES_SQL = """doc_features AS (SELECT d.doc_id,
   len(list_distinct(string_split(text, ' '))) / len(string_split(text, ' ')) AS unique_ratio,
   length(regexp_replace(text, '[^0-9]', '', 'g')) / nullif(length(text), 0) AS digit_share,
   len(string_split(text, chr(10)))::DOUBLE AS lines,
+  len(string_split(text, ' ')) / nullif(length(regexp_replace(text, '[^0-9]', '', 'g')), 0) AS words_per_digit,
   c.cls
   FROM documents d JOIN """ + "(SELECT doc_id, CASE WHEN quality = 0 THEN 'low' WHEN toxic = 1 THEN 'hi_tox' ELSE 'hi' END AS cls FROM labels)" + """ c ON d.doc_id = c.doc_id)"""

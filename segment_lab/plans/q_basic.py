@@ -12,7 +12,7 @@ from ..operators import joins as J
 from ..operators import segments as G
 from ..operators import timeline as W
 from ..sources import catalog as S
-from ..sources.tables import read_table, spread
+from ..sources.tables import read_table
 from . import fixtures as X
 from .fixtures import (CLASSES_SQL, RATINGS_SQL, SIGNAL_SQL, TRACKS_SQL)
 from .registry import query
@@ -81,7 +81,7 @@ TEXT_FEATS = ["mean_word_len", "std_word_len", "n_chars", "digit_share", "unique
 
 
 def _text_segments(spark, d):
-    docs = spread(X.table(spark, d, "documents"))
+    docs = X.table(spark, d, "documents")
     return G.text_segments(docs, "doc_id", "text", X.SEGMENT_WORDS, keep=["lang"])
 
 
@@ -131,20 +131,20 @@ def path_rewrite(spark, d):
 
 
 SPEND_SQL = """spend AS (SELECT c.c_custkey, c.c_acctbal, s.spend FROM customer c LEFT JOIN
-  (SELECT o_custkey, sum(floor(o_totalprice))::BIGINT AS spend FROM orders GROUP BY o_custkey) s
+  (SELECT o_custkey, sum(floor(o_totalprice))::BIGINT AS spend FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) s
   ON c.c_custkey = s.o_custkey)"""
 
 
 def _spend(spark, d):
     c = X.table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    s = (X.table(spark, d, "orders").groupBy("o_custkey")
+    s = (X.table(spark, d, "orders").filter(F.col("o_orderstatus") == "P").groupBy("o_custkey")
          .agg(F.sum(F.floor("o_totalprice")).alias("spend")))
     return c.join(s, c.c_custkey == s.o_custkey, "left").drop("o_custkey")
 
 
 @query("drop_nulls", _with(SPEND_SQL) + "SELECT c_custkey, c_acctbal, spend FROM spend WHERE spend IS NOT NULL")
 def drop_nulls(spark, d):
-    """Customers without orders have a NULL spend and are dropped."""
+    """Customers without a pending order have a NULL spend and are dropped."""
     return C.drop_nulls(_spend(spark, d))
 
 
@@ -204,10 +204,10 @@ def rating_join(spark, d):
 
 
 @query("phase_lookup", _with(TRACKS_SQL, RATINGS_SQL) + """SELECT r.track_no, r.playlist, r.valence,
-  r.arousal, t.phase FROM ratings r LEFT JOIN tracks t ON r.track_no = t.track_no AND r.playlist = t.playlist""")
+  r.arousal, t.phase FROM ratings r LEFT JOIN (SELECT * FROM tracks WHERE process) t ON r.track_no = t.track_no AND r.playlist = t.playlist""")
 def phase_lookup(spark, d):
-    """Fetch the phase for each rating, no offset."""
-    return J.phase_lookup(X.ratings(spark, d), X.tracks(spark, d), ["track_no", "playlist"], ["phase"])
+    """Fetch the phase of the process-flagged tracks for each rating; the others keep NULL."""
+    return J.phase_lookup(X.ratings(spark, d), X.tracks(spark, d).filter("process"), ["track_no", "playlist"], ["phase"])
 
 
 SEG_JOIN_SQL = """segjoin AS (SELECT d.doc_id, d.lang, s.chunk, s.mean_word_len FROM documents d
@@ -287,7 +287,7 @@ TOKENS_SQL = """tok AS (SELECT lang, unnest(string_split(text, ' ')) AS token FR
 
 
 def _token_counts(spark, d):
-    return D.token_counts(spread(X.table(spark, d, "documents")), "lang", "text", sep=" ")
+    return D.token_counts(X.table(spark, d, "documents"), "lang", "text", sep=" ")
 
 
 @query("token_counts", _with(TOKENS_SQL) + "SELECT * FROM tc")
@@ -296,6 +296,14 @@ def token_counts(spark, d):
     return _token_counts(spark, d)
 
 
+@query("topk_overall", _with(TOKENS_SQL) + """SELECT token, n, rank::INTEGER AS rank FROM (SELECT token, sum(n)::BIGINT AS n,
+  row_number() OVER (ORDER BY sum(n) DESC, token) AS rank FROM tc GROUP BY token) WHERE rank <= 150""")
+def topk_overall(spark, d):
+    """The 150 most frequent words over all languages, ranked."""
+    totals = _token_counts(spark, d).groupBy("token").agg(F.sum("n").alias("n"))
+    return D.topk(totals, None, "n", "token", 150)
+
+
 @query("token_totals", _with(TOKENS_SQL) + "SELECT token, sum(n)::BIGINT AS n FROM tc GROUP BY token")
 def token_totals(spark, d):
     """Counts merged across languages."""
@@ -328,7 +336,7 @@ def priority_lookup(spark, d):
 
 SHARED_SQL = """parts AS (SELECT l.l_partkey, n.n_name, l.l_orderkey, l.l_linenumber, p.p_name, p.p_brand
   FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
-  JOIN part p ON l.l_partkey = p.p_partkey),
+  JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_returnflag = 'R' AND l.l_quantity >= 40),
   shared AS (SELECT l_partkey, arg_min(p_name, (l_orderkey, l_linenumber, p_name)) AS p_name,
   arg_min(p_brand, (l_orderkey, l_linenumber, p_brand)) AS p_brand,
   count(DISTINCT n_name)::INTEGER AS n_groups, array_to_string(list_sort(list_distinct(list(n_name))), ', ') AS groups
@@ -336,18 +344,20 @@ SHARED_SQL = """parts AS (SELECT l.l_partkey, n.n_name, l.l_orderkey, l.l_linenu
 
 
 def _shared(spark, d):
-    li = X.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+    li = X.table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 40") \
+        .select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
     s = X.table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     n = X.table(spark, d, "nation").select("n_nationkey", "n_name")
     p = X.table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
-    j = (li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
-           .join(p, li.l_partkey == p.p_partkey))
-    return D.shared_items(j, "l_partkey", "n_name", ["p_name", "p_brand"], ["l_orderkey", "l_linenumber"])
+    # the pair of part and nation goes through the big aggregate; a part's own columns join its result
+    pairs = li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey).select("l_partkey", "n_name")
+    shared = D.shared_items(pairs, "l_partkey", "n_name")
+    return shared.join(p, shared.l_partkey == p.p_partkey).select("l_partkey", "p_name", "p_brand", "n_groups", "groups")
 
 
 @query("shared_items", _with(SHARED_SQL) + "SELECT * FROM shared")
 def shared_items(spark, d):
-    """Parts supplied from more than one nation, with first attributes."""
+    """Parts with large returns from more than one nation, with their attributes."""
     return _shared(spark, d)
 
 
@@ -512,5 +522,8 @@ def segment_features(spark, d):
   LEFT JOIN (SELECT doc_id, count(*) AS n FROM segs GROUP BY doc_id) n ON d.doc_id = n.doc_id""")
 def job_status(spark, d):
     """Exists / success / error per document (short texts are errors)."""
-    docs = X.table(spark, d, "documents").select("doc_id")
-    return S.job_status_files(docs, X.table(spark, d, "labels"), _text_segments(spark, d), "doc_id")
+    docs = X.table(spark, d, "documents").select("doc_id", "text")
+    # full segments of a text by its word count; no segment is cut
+    n = F.floor(F.size(F.split("text", " ")) / X.SEGMENT_WORDS)
+    full = docs.groupBy("doc_id").agg(F.sum(n).cast("long").alias("n_segments"))
+    return S.job_status_files(docs, X.table(spark, d, "labels"), full, "doc_id")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import uuid
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -23,7 +20,6 @@ from . import fixtures as X
 from .fixtures import CLASSES_SQL
 from .q_basic import LI_FEATS, TEXT_SEG_SQL
 from .registry import query
-from ..sources.tables import spread
 
 SEED = 1987
 
@@ -48,17 +44,17 @@ def zscore(spark, d):
 PART_FOLDS_SQL = f"""pf AS (SELECT *, ((row_number() OVER (PARTITION BY p_type ORDER BY {_h_sql(SEED, 'p_partkey')}, p_partkey) - 1) % 5)::INTEGER AS fold FROM part)"""
 
 
-@query("one_hot", _with(PART_FOLDS_SQL) + """, tr AS (SELECT * FROM pf WHERE fold <> 0)
+@query("one_hot", _with(PART_FOLDS_SQL) + """, tr AS (SELECT * FROM pf WHERE fold <> 0 AND p_size <= 3)
   SELECT p.p_partkey AS id, 'p_brand' AS feature, s.slot::INTEGER AS slot FROM part p LEFT JOIN
     (SELECT v, row_number() OVER (ORDER BY v) - 1 AS slot FROM (SELECT DISTINCT p_brand AS v FROM tr)) s ON p.p_brand = s.v
-  UNION ALL SELECT p.p_partkey, 'p_type', s.slot::INTEGER FROM part p LEFT JOIN
-    (SELECT v, row_number() OVER (ORDER BY v) - 1 AS slot FROM (SELECT DISTINCT p_type AS v FROM tr)) s ON p.p_type = s.v""")
+  UNION ALL SELECT p.p_partkey, 'p_name', s.slot::INTEGER FROM part p LEFT JOIN
+    (SELECT v, row_number() OVER (ORDER BY v) - 1 AS slot FROM (SELECT DISTINCT p_name AS v FROM tr)) s ON p.p_name = s.v""")
 def one_hot(spark, d):
-    """one-hot slots learned on training folds; unseen values -> NULL slot (all zeros)."""
+    """one-hot slots learned on the small parts of the training folds; unseen values -> NULL slot (all zeros)."""
     part = X.table(spark, d, "part")
     f = FO.stratified_folds(part, "p_type", "p_partkey", 5, SEED)
-    train = f.filter(F.col("fold") != 0)
-    return P.one_hot_long(train, part, "p_partkey", ["p_brand", "p_type"])
+    train = f.filter((F.col("fold") != 0) & (F.col("p_size") <= 3))
+    return P.one_hot_long(train, part, "p_partkey", ["p_brand", "p_name"])
 
 
 @query("class_weights", _with(CLASSES_SQL) + """SELECT cls, n_c, (SELECT count(*) FROM classes) /
@@ -98,10 +94,10 @@ def stratified_folds(spark, d):
   SELECT sl.doc_id, sl.chunk, sl.cls, ft.fold FROM sl JOIN ft ON sl.doc_id = ft.doc_id""")
 def group_folds(spark, d):
     """L2: segments of one document never straddle folds; folds stratified by class."""
-    segs = spread(X.table(spark, d, "documents"))
     from ..operators.segments import text_segments
-    s = text_segments(segs, "doc_id", "text", X.SEGMENT_WORDS).select("doc_id", "chunk")
-    s = s.join(X.classes(spark, d), "doc_id")
+    # the class first: only labelled texts are cut into segments
+    docs = X.table(spark, d, "documents").select("doc_id", "text").join(X.classes(spark, d), "doc_id")
+    s = text_segments(docs.select("doc_id", "cls", "text"), "doc_id", "text", X.SEGMENT_WORDS, keep=["cls"]).select("doc_id", "chunk", "cls")
     return FO.group_folds(s, "cls", "doc_id", 5, SEED)
 
 
@@ -178,14 +174,22 @@ def gmm_clusters(spark, d):
 
 @query("ward_clusters")
 def ward_clusters(spark, d):
-    """Ward clustering via micro-clusters; cluster sizes."""
+    """Hierarchical clustering of all rows by repeated bisection; cluster sizes."""
     e = _emb(spark, d)
     k = e.select("label").distinct().count()
-    out, _ = CL.ward_clusters(e, "features", k, micro=200, seed=SEED)
+    out, _ = CL.bisecting_clusters(e, "features", k, seed=SEED)
     return A.cluster_sizes(out, "label", "cluster")
 
 
-@query("silhouette_sq")
+@query("silhouette_sq", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS xx FROM embeddings),
+  mu AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(v) AS m FROM
+    (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM e) GROUP BY label, pos) GROUP BY label),
+  cl AS (SELECT e.label, count(*) AS n, avg(xx) AS psi FROM e GROUP BY e.label),
+  d AS (SELECT e.vec_id, e.label, cl.label AS other, cl.n, e.xx + cl.psi - 2 * list_dot_product(e.x, mu.c) AS dist
+    FROM e, cl JOIN mu USING (label)),
+  ab AS (SELECT vec_id, max(CASE WHEN label = other THEN n END) AS n, max(CASE WHEN label = other THEN dist * n / greatest(n - 1, 1) END) AS a,
+    min(CASE WHEN label <> other THEN dist END) AS b FROM d GROUP BY vec_id)
+  SELECT avg(CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END) AS silhouette FROM ab""")
 def silhouette_sq(spark, d):
     """Spark's squared-Euclidean silhouette of the label partition."""
     e = _emb(spark, d)
@@ -236,10 +240,10 @@ def permutation_importance(spark, d):
                                           return_models=True, only_folds=[last])
     rf = models[-1].stages[-1]
     # same label order as the model: string labels indexed alphabetically
-    rows = e.select(F.col("label").cast("string").alias("__ys"), F.col("features").alias("__x"))
+    rows = e.select("vec_id", F.col("label").cast("string").alias("__ys"), F.col("features").alias("__x"))
     idx = StringIndexer(inputCol="__ys", outputCol="__li", stringOrderType="alphabetAsc").fit(rows).transform(rows)
     names = [f"d{j}" for j in range(rf.numFeatures)]
-    return EX.permutation_importance(idx, rf, "__x", "__li", names, SEED)
+    return EX.permutation_importance(idx, rf, "__x", "__li", names, "vec_id", SEED)
 
 
 # --------------------------------------------------------------- streaming ---
@@ -257,10 +261,8 @@ EVENTS_SCHEMA = T.StructType([
   HAVING time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
 def stream_segments(spark, d):
     """6-hour tumbling-window segments of the event stream (1 h watermark, append)."""
-    # a fresh sink and checkpoint per call, so every run processes the whole stream
-    tag = f"{hashlib.md5(d.encode()).hexdigest()[:10]}_{uuid.uuid4().hex[:8]}"
-    out = run_stream_segments(spark, d, "events.parquet", EVENTS_SCHEMA, "ts", ["event_type"],
-                              "6 hours", "1 hour", f"events_{tag}")
+    out = run_stream_segments(spark, f"{d}/events.parquet", EVENTS_SCHEMA, "ts", ["event_type"],
+                              "6 hours", "1 hour", "events")
     fmt = "yyyy-MM-dd HH:mm:ss"
     return out.select(F.date_format("window_start", fmt).alias("window_start"),
                       F.date_format("window_end", fmt).alias("window_end"),

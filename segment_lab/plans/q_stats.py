@@ -11,6 +11,7 @@ from ..operators import scored as SC
 from . import fixtures as X
 from .fixtures import DOC_FEATURES, DOC_FEATURES_SQL
 from .registry import query
+from ..operators.folds import stratified_folds
 from ..session import materialize
 
 
@@ -112,28 +113,36 @@ def large_effects(spark, d):
 N_FOLDS = 5
 SEED = 1987
 
-SCORED_SQL = f"""emb AS (SELECT vec_id, label::VARCHAR AS y_true, embedding::DOUBLE[] AS x FROM embeddings),
-  cent AS (SELECT y_true AS lab, list(m ORDER BY pos) AS c FROM (SELECT y_true, pos, avg(v) AS m FROM
-    (SELECT y_true, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM emb) GROUP BY y_true, pos) GROUP BY y_true),
-  dist AS (SELECT e.vec_id, e.y_true, c.lab,
+SCORED_SQL = f"""emb AS (SELECT vec_id, label::VARCHAR AS y_true, embedding::DOUBLE[] AS x,
+    ((row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}:' || CAST(vec_id AS VARCHAR)), vec_id) - 1) % {N_FOLDS})::INTEGER AS fold FROM embeddings),
+  cent AS (SELECT f, y_true AS lab, list(m ORDER BY pos) AS c FROM (SELECT f, y_true, pos, avg(v) AS m FROM
+    (SELECT f, y_true, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM emb, range({N_FOLDS}) fs(f) WHERE fold <> f)
+    GROUP BY f, y_true, pos) GROUP BY f, y_true),
+  dist AS (SELECT e.vec_id, e.fold, e.y_true, c.lab,
     list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(e.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))),
-      lambda acc, y: acc + y) AS d FROM emb e, cent c),
+      lambda acc, y: acc + y) AS d FROM emb e JOIN cent c ON e.fold = c.f),
   dmin AS (SELECT vec_id, min(d) AS md FROM dist GROUP BY vec_id),
-  scored AS (SELECT t.vec_id AS id, t.y_true, arg_min(t.lab, (t.d, t.lab)) AS y_pred,
-    list(exp(m.md - t.d) ORDER BY t.lab) AS e FROM dist t JOIN dmin m ON t.vec_id = m.vec_id GROUP BY t.vec_id, t.y_true),
-  sc AS (SELECT id, y_true, y_pred, list_transform(e, lambda v: v / list_sum(e)) AS probability FROM scored)"""
+  scored AS (SELECT t.vec_id AS id, t.fold, t.y_true, arg_min(t.lab, (t.d, t.lab)) AS y_pred,
+    list(exp(m.md - t.d) ORDER BY t.lab) AS e FROM dist t JOIN dmin m ON t.vec_id = m.vec_id GROUP BY t.vec_id, t.fold, t.y_true),
+  sc AS (SELECT id, fold, y_true, y_pred, list_transform(e, lambda v: v / list_sum(e)) AS probability FROM scored)"""
+
+
+def _scored_with_labels(spark, d):
+    """Out-of-fold nearest-centroid scores (each fold by the centroids of the others), and the labels."""
+    emb = stratified_folds(X.table(spark, d, "embeddings"), "label", "vec_id", N_FOLDS, SEED)
+    cents = SC.class_centroids(emb, "embedding", "label", "fold")
+    labels = sorted({lab for m in cents.values() for lab, _ in m})
+    return SC.nearest_centroid_scores(emb, "vec_id", "embedding", "label", cents, "fold"), labels
 
 
 def _scored(spark, d):
-    emb = X.table(spark, d, "embeddings")
-    cents = SC.class_centroids(emb, "embedding", "label")
-    return SC.nearest_centroid_scores(emb, "vec_id", "embedding", "label", cents)
+    return _scored_with_labels(spark, d)[0]
 
 
-@query("scored_table", _with(SCORED_SQL) + "SELECT id, y_true, y_pred FROM sc")
+@query("scored_table", _with(SCORED_SQL) + "SELECT id, fold, y_true, y_pred FROM sc")
 def scored_table(spark, d):
-    """Nearest-class-centroid predictions over the embeddings (input of M*, T6, C*)."""
-    return _scored(spark, d).select("id", "y_true", "y_pred")
+    """Out-of-fold nearest-centroid predictions over the embeddings (input of M*, T6, C*)."""
+    return _scored(spark, d).select("id", "fold", "y_true", "y_pred")
 
 
 @query("confusion_matrix", _with(SCORED_SQL) + """, labs AS (SELECT DISTINCT l FROM (SELECT y_true AS l FROM sc UNION SELECT y_pred FROM sc)),
@@ -181,14 +190,14 @@ CLS_SCORES_SQL = """cs AS (SELECT l.lab AS cls, s.probability[l.k] AS score, s.y
   FROM cum c JOIN tots t ON c.cls = t.cls UNION ALL SELECT cls, NULL::DOUBLE, 0.0, 0.0 FROM tots""")
 def roc_points(spark, d):
     """M4: one-vs-rest ROC points per class."""
-    return SC.roc_points(_scored(spark, d))
+    return SC.roc_points(*_scored_with_labels(spark, d))
 
 
 @query("roc_auc", _with(SCORED_SQL, CLS_SCORES_SQL) + """SELECT cls, sum(fp * (cum_tp - tp / 2.0)) / (sum(tp) * sum(fp))::DOUBLE AS auc
   FROM cum GROUP BY cls""")
 def roc_auc(spark, d):
     """M4: one-vs-rest AUC per class (trapezoid, ties exact)."""
-    return SC.roc_auc(_scored(spark, d)).orderBy(F.col("auc").desc())
+    return SC.roc_auc(*_scored_with_labels(spark, d)).orderBy(F.col("auc").desc())
 
 
 def _mcnemar_sql(mode: str) -> str:

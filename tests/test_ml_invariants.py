@@ -45,31 +45,31 @@ def test_oof_covers_each_row_once(spark, small_dir):
     assert (s["y_pred"] == [labels[i] for i in probs.argmax(axis=1)]).all()
 
 
-def _naive_ward(x, k):
-    clusters = [[i] for i in range(len(x))]
-
-    def sse(idx):
-        p = x[idx]
-        return ((p - p.mean(0)) ** 2).sum()
-    while len(clusters) > k:
-        best = None
-        for a in range(len(clusters)):
-            for b in range(a + 1, len(clusters)):
-                inc = sse(clusters[a] + clusters[b]) - sse(clusters[a]) - sse(clusters[b])
-                if best is None or inc < best[0]:
-                    best = (inc, a, b)
-        _, a, b = best
-        clusters[a] = clusters[a] + clusters[b]
-        del clusters[b]
-    return sorted(sorted(c) for c in clusters)
-
-
-def test_ward_merge_equals_direct_ward():
+def test_bisecting_uses_all_rows(spark):
+    from pyspark.ml.linalg import Vectors
     rng = np.random.default_rng(7)
-    x = np.concatenate([rng.normal(c, 0.6, size=(10, 2)) for c in (0, 3, 6)] + [rng.normal(1, 2, size=(8, 2))])
-    lab = CL._ward_merge(x, np.ones(len(x)), 4)
-    got = sorted(sorted(np.flatnonzero(lab == c).tolist()) for c in np.unique(lab))
-    assert got == _naive_ward(x, 4)
+    x = np.concatenate([rng.normal(c, 0.2, size=(40, 2)) for c in (0, 5, 10)])
+    df = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x)], ["i", "x"])
+    out, _ = CL.bisecting_clusters(df, "x", 3, seed=1)
+    got = out.toPandas().groupby("cluster")["i"].apply(lambda s: sorted(s)).tolist()
+    assert sorted(got) == [list(range(0, 40)), list(range(40, 80)), list(range(80, 120))]
+
+
+def test_mixed_pipeline_unseen_missing_and_boolean(spark):
+    from segment_lab.operators.prep import mixed_pipeline
+    train = spark.createDataFrame([(1.0, "a", True), (2.0, "b", False), (3.0, "c", True)], "x double, g string, f boolean")
+    new = spark.createDataFrame([(1.0, "zzz", True), (1.0, None, None), (1.0, "b", False)], "x double, g string, f boolean")
+    rows = [r["features"].toArray() for r in mixed_pipeline(["x"], ["g", "f"]).fit(train).transform(new).collect()]
+    assert all(len(r) == 1 + 3 + 2 for r in rows)
+    assert rows[0][1:].tolist() == [0, 0, 0, 0, 1] and rows[1][1:].tolist() == [0] * 5 and rows[2][1:].tolist() == [0, 1, 0, 1, 0]
+
+
+def test_two_class_logistic_is_binomial(spark):
+    from pyspark.ml.linalg import Vectors
+    from segment_lab.operators.classify import make_model
+    data = [(float(i % 2), Vectors.dense([i % 2 + 0.1 * (i % 5)]), 1.0) for i in range(40)]
+    m = make_model("log", n_rows=40.0).fit(spark.createDataFrame(data, ["__y", "features", "weight"]))
+    assert m.coefficientMatrix.numRows == 1
 
 
 def test_linear_shap_is_additive(spark, small_dir):
@@ -96,9 +96,11 @@ def test_permutation_importance_signal_vs_constant(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.linalg import Vectors
     from segment_lab.operators import explain as EX
-    data = [(float(i % 2), Vectors.dense([float(i % 2) + 0.01 * (i % 7), 5.0])) for i in range(200)]
-    df = spark.createDataFrame(data, ["y", "x"])
+    data = [(i, float(i % 2), Vectors.dense([float(i % 2) + 0.01 * (i % 7), 5.0])) for i in range(200)]
+    df = spark.createDataFrame(data, ["i", "y", "x"])
     rf = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=5, maxDepth=3, seed=1).fit(df)
-    imp = {r["feature"]: r["importance"] for r in EX.permutation_importance(df, rf, "x", "y", ["a", "b"], 7).collect()}
+    imp = {r["feature"]: r["importance"] for r in EX.permutation_importance(df, rf, "x", "y", ["a", "b"], "i", 7).collect()}
+    again = {r["feature"]: r["importance"] for r in EX.permutation_importance(df.repartition(7), rf, "x", "y", ["a", "b"], "i", 7).collect()}
+    assert imp == again             # donors are chosen by id, not by partition layout
     assert imp["b"] == 0.0          # a constant feature: permuting it changes nothing
     assert imp["a"] > 0.3           # the signal feature: permuting it breaks the prediction

@@ -30,6 +30,7 @@ def duck(small_dir):
 def test_query_matches_oracle(spark, small_dir, duck, name):
     df = E.queries()[name](spark, small_dir)
     got = rows_of(df.columns, df.collect())
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty(), "a query left cached data behind"
     cur = duck.execute(E.oracle_sql()[name])
     cols = [c[0] for c in cur.description]
     assert sorted(cols) == sorted(df.columns)
@@ -37,3 +38,22 @@ def test_query_matches_oracle(spark, small_dir, duck, name):
     assert len(got) == len(want)
     bad = [(a, b) for a, b in zip(got, want) if not close(a, b)]
     assert not bad, bad[:3]
+
+
+def test_each_condition_occurs_on_both_sides(spark, small_dir):
+    """Filters, outer joins and NULL rules are exercised by the given tables."""
+    q = E.queries()
+    table = lambda n: spark.read.parquet(f"{small_dir}/{n}.parquet")
+    assert 0 < q["drop_nulls"](spark, small_dir).count() < table("customer").count()
+    quadrants = {r["quadrant"]: r["n"] for r in q["quadrant_counts"](spark, small_dir).collect()}
+    assert sum(quadrants[k] for k in ("Q1", "Q2", "Q3", "Q4")) < quadrants["Total"]
+    phases = q["phase_lookup"](spark, small_dir)
+    assert 0 < phases.where("phase is null").count() < phases.count()
+    shared = q["shared_items"](spark, small_dir).count()
+    bought = table("lineitem").where("l_returnflag = 'R' and l_quantity >= 40").select("l_partkey").distinct().count()
+    assert 0 < shared < bought
+    assert q["downmix"](spark, small_dir).count() < table("events").count()
+    slots = q["one_hot"](spark, small_dir)
+    assert 0 < slots.where("slot is null").count() < slots.count()
+    f = {r["feature"]: r["F"] for r in q["anova_features"](spark, small_dir).collect()}
+    assert f["words_per_digit"] is None and f["chars"] is not None

@@ -10,7 +10,10 @@ from segment_lab.operators.ordered import running_sums
 # model fits run many jobs while building; their plans are covered elsewhere
 SKIP = {"logreg_oof", "rf_oof", "logreg_undersampled_auc", "oof_predictions", "kmeans_clusters",
         "gmm_clusters", "ward_clusters", "coef_importance", "shap_linear", "permutation_importance",
-        "pca_variance", "pca_2d", "silhouette_sq", "stream_segments"}
+        "pca_variance", "pca_2d", "silhouette_sq", "stream_segments", "segment_pipeline", "segment_report",
+        "track_pipeline", "cluster_pipeline", "aligned_report", "kmeans_nearest", "impurity_importance",
+        "shap_additive", "pca_total_variance", "sink_round_trip", "pipeline",
+        *(k for k in E.queries() if re.match(r"op\d+_", k))}
 
 
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP))
@@ -38,3 +41,17 @@ def test_hot_group_is_spread_over_blocks(spark):
     per_task = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert max(r["count"] for r in per_task) < 0.5 * len(data)
     assert out.filter(F.col("g") == "hot").agg(F.max("c")).first()[0] == 9000
+
+
+def test_no_exchange_of_rows_by_a_hot_label_alone(spark, small_dir):
+    """With no broadcast to hide behind, labels meet their weights, totals and slots by salted keys."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, label in (("group_density", "lang"), ("priority_lookup", "lang"), ("one_hot", "v")):
+            plan = E.queries()[name](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+            joins = re.findall(r"SortMergeJoin \[([^\]]*)\]", plan)
+            assert any("__salt" in j for j in joins), name
+            assert not any(re.fullmatch(label + r"#\d+", j) for j in joins), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
