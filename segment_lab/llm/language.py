@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizing import checked_collect
 from .common import fresh, utf8
 
 #: Labelled text that is learned for each language (the stated bounds of the training sample).
 SAMPLE_CHARS = 20_000
 SAMPLE_DOCS = 200
+MAX_LANGUAGES = 1_000
 #: A longer text is parsed in blocks of this many symbols; no phrase runs over the end of a block.
 BLOCK = 16_384
 #: Texts walked together, in bytes.
@@ -53,8 +55,12 @@ def training_samples(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")) \
         .where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
     place = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / float(1 << 53))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    drawn = usable.withColumn("u", place).join(F.broadcast(counts), "lang").where(F.col("u") * F.col("n") <= 2.0 * sample_docs + 50)
+    # one model per language must fit into each worker, so their number is small; more is an error
+    counts = {r["lang"]: r["n"] for r in checked_collect(usable.groupBy("lang").agg(F.count("*").alias("n")), 2 * MAX_LANGUAGES, "languages", 2)}
+    if not counts:
+        return {}
+    rate = F.try_element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, (2.0 * sample_docs + 50) / n)]), F.col("lang"))
+    drawn = usable.withColumn("u", place).where(F.col("u") <= rate)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "id", F.xxhash64("text")))
     rows = drawn.select("lang", "id", "u", F.left("text", F.lit(sample_chars)).alias("text")).withColumn("r", rank) \
         .where(F.col("r") <= sample_docs).orderBy("lang", "r").select("lang", "text").collect()  # at most sample_docs per language
