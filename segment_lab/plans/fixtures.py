@@ -25,8 +25,13 @@ SEGMENT_WORDS = 30
 DIGITS = "0123456789"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return nan_to_null(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, where: str | None = None) -> DataFrame:
+    """A given table; ``where`` filters the raw columns, so that it reaches the Parquet scan."""
+    raw = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if where is None:
+        return nan_to_null(raw)
+    # NaN passes a raw comparison; as NULL it does not
+    return nan_to_null(raw.where(where)).where(where)
 
 
 def tracks(spark, d) -> DataFrame:

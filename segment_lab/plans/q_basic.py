@@ -344,8 +344,7 @@ SHARED_SQL = """parts AS (SELECT l.l_partkey, n.n_name, l.l_orderkey, l.l_linenu
 
 
 def _shared(spark, d):
-    li = X.table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 40") \
-        .select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+    li = X.table(spark, d, "lineitem", "l_returnflag = 'R' AND l_quantity >= 40").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
     s = X.table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     n = X.table(spark, d, "nation").select("n_nationkey", "n_name")
     p = X.table(spark, d, "part").select("p_partkey", "p_name", "p_brand")

@@ -34,19 +34,27 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
                nan_as_null: bool = True) -> DataFrame:
     """Scan a table with an explicit schema.
 
-    ``fmt="csv"`` reads a header CSV; ``index_col=True`` drops the first
+    ``fmt="csv"`` reads a header CSV by its column names, whatever their
+    order; a column of the schema that the file lacks is an error, and so is
+    a value that does not fit its type.  ``index_col=True`` drops the first
     column (a written row index), matching ``read_csv(index_col=0)``.
     Parquet keeps its own schema unless one is given.
     """
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
     if fmt == "csv":
-        df = reader.option("header", header).option("mode", "FAILFAST").csv(path)
+        raw = spark.read.option("header", header).option("mode", "FAILFAST").csv(path)
+        if index_col:
+            raw = raw.drop(raw.columns[0])
+        if schema is not None:
+            fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+            if not header:
+                raw = raw.toDF(*[f.name for f in fields])
+            raw = raw.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
+        df = raw
     else:
+        reader = spark.read if schema is None else spark.read.schema(schema)
         df = reader.format(fmt).load(path)
-    if index_col:
-        df = df.drop(df.columns[0])
+        if index_col:
+            df = df.drop(df.columns[0])
     return nan_to_null(df) if nan_as_null else df
 
 

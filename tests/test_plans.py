@@ -55,3 +55,11 @@ def test_no_exchange_of_rows_by_a_hot_label_alone(spark, small_dir):
             assert not any(re.fullmatch(label + r"#\d+", j) for j in joins), name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_float_filter_reaches_the_scan(spark, small_dir):
+    old = spark.conf.get("spark.sql.maxMetadataStringLength", "100")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = E.queries()["shared_items"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(l_quantity", plan)

@@ -34,3 +34,19 @@ def test_catalog_pending_and_path_keys(spark, small_dir):
     p = spark.createDataFrame([("/r/a/b/c/d/pl1/12-abc-song.mp3",)], "path string")
     r = path_keys(p, "path").collect()[0].asDict()
     assert r["group"] == "pl1" and r["order"] == 12 and r["item_id"] == "abc"
+
+
+def test_csv_is_read_by_its_header(spark, tmp_path):
+    import pytest
+    from segment_lab.sources.tables import read_table
+    path = tmp_path / "t.csv"
+    path.write_text(",b,a,g\n0,2.5,1,x\n1,NaN,3,\n")
+    df = read_table(spark, str(path), "a long, b double, g string", fmt="csv", index_col=True)
+    assert rows(df, "a", "b", "g") == [(1, 2.5, "x"), (3, None, None)] and df.columns == ["a", "b", "g"]
+    with pytest.raises(Exception, match="(?i)zz"):
+        read_table(spark, str(path), "zz long", fmt="csv").collect()
+    with pytest.raises(Exception):
+        read_table(spark, str(path), "g long", fmt="csv").collect()
+    bare = tmp_path / "bare.csv"
+    bare.write_text("1,x\n2,y\n")
+    assert rows(read_table(spark, str(bare), "a long, g string", fmt="csv", header=False)) == [(1, "x"), (2, "y")]
