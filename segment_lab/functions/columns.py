@@ -107,10 +107,3 @@ def rescale(df: DataFrame, cols: list[str], divisor: float) -> DataFrame:
     s = set(cols)
     return df.select([(F.col(c) / F.lit(float(divisor))).alias(c) if c in s else F.col(c)
                       for c in df.columns])
-
-
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (used at report borders, not inside operators)."""
-    return df.select([F.round(F.col(f.name), digits).alias(f.name)
-                      if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
-                      for f in df.schema.fields])

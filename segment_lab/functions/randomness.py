@@ -26,9 +26,3 @@ def uniform01(seed, *keys) -> Column:
     """U[0, 1) from the key columns and the seed."""
     h = seeded_hash(seed, *keys)
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(_TWO_32)
-
-
-def uniform_sql(seed, *key_sql: str) -> str:
-    """The same uniform as DuckDB SQL text (for oracles)."""
-    inner = f"'{seed}'" + "".join(f" || ':' || CAST({k} AS VARCHAR)" for k in key_sql)
-    return f"(('0x' || substr(md5({inner}), 1, 8))::BIGINT / 4294967296.0)"

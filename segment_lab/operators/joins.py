@@ -61,8 +61,7 @@ def track_segment_join(tracks: DataFrame, segments: DataFrame, track_key: str,
 
     A track without segments keeps one row with NULL segment columns.
     """
-    s = segments.withColumnRenamed(segment_key, "__seg_key") if segment_key != track_key \
-        else segments.withColumnRenamed(segment_key, "__seg_key")
+    s = segments.withColumnRenamed(segment_key, "__seg_key")
     j = tracks.join(s, tracks[track_key] == s["__seg_key"], "left")
     return j.drop("__seg_key")
 

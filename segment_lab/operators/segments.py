@@ -8,6 +8,8 @@ by the segment length.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +69,7 @@ def text_segments(docs: DataFrame, key: str, text: str, size: int = 30,
     the task that reads it: no shuffle, whatever the corpus size.
     """
     keep = keep or []
-    words = F.split(F.col(text), sep)
+    words = F.split(F.col(text), re.escape(sep))
     base = docs.select(key, *keep, words.alias("__w"))
     n_full = F.floor(F.size("__w") / F.lit(size)).cast("int")
     # Slice each text once into an array of segments (linear in its length),

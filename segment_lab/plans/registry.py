@@ -4,7 +4,7 @@ Each query is a callable ``(spark, sf_dir) -> DataFrame``; the oracle is the
 same result stated in SQL over the raw tables.  Results are returned
 unrounded: the comparison normalises both sides the same way, and rounding
 only the Spark side would turn values on a rounding midpoint (10/256 at six
-digits) into mismatches.  ``digits`` rounds one query's doubles when asked.
+digits) into mismatches.
 """
 
 from __future__ import annotations
@@ -13,19 +13,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.columns import round_doubles
 from ..session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, digits: int | None = None):
+def query(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
-            df = fn(spark, sf_dir)
-            return round_doubles(df, digits) if digits is not None else df
+            return fn(spark, sf_dir)
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
