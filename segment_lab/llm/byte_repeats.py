@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SEPARATOR, chunks, hash_spans, mix, prefix_hashes, utf8, width
+from .common import IS_SEPARATOR, chunks, giving_back, hash_spans, mix, prefix_hashes, utf8, width
 from .suffix_groups import suffix_order
 from .substrings import pack, unpack
 
@@ -167,15 +167,19 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tupl
     return p, repeated
 
 
-def _runs(flags: np.ndarray, rows: np.ndarray, at: np.ndarray):
-    """Maximal runs of set flags inside equal ``rows``: row, first and last value of ``at``."""
-    if not len(flags):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    joined = (rows[1:] == rows[:-1])
-    first = np.flatnonzero(flags & ~np.r_[False, flags[:-1] & joined])
-    last = np.flatnonzero(flags & ~np.r_[flags[1:] & joined, False])
-    return rows[first], at[first], at[last]
+def _runs(flags: np.ndarray, offsets: np.ndarray):
+    """Maximal runs of set flags inside the rows: row, first place and last place."""
+    inner = offsets[1:-1][offsets[1:-1] < len(flags)] if len(offsets) > 2 else offsets[:0]
+    open_before = np.zeros(len(flags), bool)
+    open_before[1:] = flags[:-1]
+    open_before[inner] = False
+    first = np.flatnonzero(flags & ~open_before)
+    del open_before
+    open_after = np.zeros(len(flags), bool)
+    open_after[:-1] = flags[1:]
+    open_after[inner[inner > 0] - 1] = False
+    last = np.flatnonzero(flags & ~open_after)
+    return np.searchsorted(offsets, first, side="right") - 1, first, last
 
 
 # ---------------------------------------------------------------- messages between batches and buckets
@@ -377,9 +381,11 @@ def resolve(table: pa.Table, length: int) -> list[tuple]:
         off = np.r_[0, np.cumsum(sizes[src])]
         spots, _ = _spread(start[src], start[src] + sizes[src] - 1)
         p, flag = repeated_windows(data[spots], off, length)
-        row = np.searchsorted(off, p, side="right") - 1
-        r, a, z = _runs(flag & ~everywhere[mine][row], row, p - off[row])
-        found.append((mine[r], a, z))
+        # runs of window starts: the windows of a context are consecutive places
+        starts = np.r_[0, np.cumsum(sizes[src] - length + 1)]
+        flag &= ~np.repeat(everywhere[mine], np.diff(starts))
+        r, a, z = _runs(flag, starts)
+        found.append((mine[r], a - starts[r], z - starts[r]))
         lo = hi
     k, a, z = (np.concatenate(x) for x in zip(*found))
     # back to every copy of each context, batch by batch
@@ -426,7 +432,8 @@ def covered(column, told: pa.Table, length: int, margin: int) -> tuple[np.ndarra
             p = p[_among(hash_spans(prefix, p, p + length), hot)]
             np.add.at(edge, start + p, 1)
             np.add.at(edge, start + p + length, -1)
-    return scan.data, scan.offsets, np.cumsum(edge[:-1]) > 0
+    np.cumsum(edge, out=edge)
+    return scan.data, scan.offsets, edge[:-1] > 0
 
 
 # ---------------------------------------------------------------- operator
@@ -436,12 +443,14 @@ RESULT = ("n_bytes", "n_removed", "removed", "kept")
 
 
 def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
-    """``gone`` widened to every byte of a character that lost one."""
-    heads = np.flatnonzero((data & 0xC0) != 0x80)
-    if not len(heads):
-        return gone
-    lost = np.add.reduceat(gone.astype(np.int64), heads) > 0
-    return np.repeat(lost, np.diff(np.r_[heads, len(data)]))
+    """``gone`` widened to every byte of a character that lost one (a character has at most four bytes)."""
+    later = (data & 0xC0) == 0x80  # not the first byte of its character
+    out = gone.copy()
+    for _ in range(3):  # back to the first byte, then on to the last
+        out[:-1] |= later[1:] & out[1:]
+    for _ in range(3):
+        out[1:] |= later[1:] & out[:-1]
+    return out
 
 
 def _nullable(kind: pa.DataType) -> pa.DataType:
@@ -472,26 +481,29 @@ def _removed(docs: DataFrame, text_col: str, length: int, margin: int, as_text:
 
     def finish(texts: pa.Table, told: pa.Table) -> pa.Table:
         data, offsets, gone = covered(texts.column("text"), told, length, margin)
-        count = np.r_[0, np.cumsum(gone, dtype=np.int64)]
-        removed = count[offsets[1:]] - count[offsets[:-1]]
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        r, a, z = _runs(gone, row, np.arange(len(gone)))
+        r, a, z = _runs(gone, offsets)
+        n = len(offsets) - 1
+        removed = np.bincount(r, z + 1 - a, n).astype(np.int64)
         spans = pa.StructArray.from_arrays([pa.array(a - offsets[r]), pa.array(z + 1 - offsets[r])], ["first", "last"])
-        spans_at = np.r_[0, np.cumsum(np.bincount(r, minlength=len(removed)))].astype(np.int32)
-        lost = _whole_characters(data, gone) if as_text else gone
-        left = np.r_[0, np.cumsum(~lost, dtype=np.int64)][offsets].astype(np.int32)
+        spans_at = np.r_[0, np.cumsum(np.bincount(r, minlength=n))].astype(np.int32)
+        lost, out = gone, removed
+        if as_text:
+            lost = _whole_characters(data, gone)
+            r, a, z = _runs(lost, offsets)
+            out = np.bincount(r, z + 1 - a, n).astype(np.int64)
+        left = np.r_[0, np.cumsum(np.diff(offsets) - out)].astype(np.int32)
         kept = pa.Array.from_buffers(pa.string() if as_text else pa.binary(), len(removed),
                                      [None, pa.py_buffer(left.tobytes()), pa.py_buffer(data[~lost].tobytes())])
         whole = texts.column("row")
         return pa.table({"row": whole.cast(_nullable(whole.type)), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed),
                          "removed": pa.ListArray.from_arrays(pa.array(spans_at), spans), "kept": kept})
 
-    told = grouped.applyInArrow(first, MESSAGE).groupBy("bucket").applyInArrow(lambda t: _table(count_anchors(t)), MESSAGE)
-    contexts = grouped.cogroup(told.groupBy("batch")).applyInArrow(second, MESSAGE)
-    answers = contexts.groupBy("bucket").applyInArrow(lambda t: _table(resolve(t, length)), MESSAGE)
+    told = grouped.applyInArrow(giving_back(first), MESSAGE).groupBy("bucket").applyInArrow(giving_back(lambda t: _table(count_anchors(t))), MESSAGE)
+    contexts = grouped.cogroup(told.groupBy("batch")).applyInArrow(giving_back(second), MESSAGE)
+    answers = contexts.groupBy("bucket").applyInArrow(giving_back(lambda t: _table(resolve(t, length))), MESSAGE)
     row_type = batched.schema["row"].dataType.simpleString()
     return grouped.cogroup(answers.groupBy("batch")).applyInArrow(
-        finish, f"row {row_type}, n_bytes long, n_removed long, removed array<struct<first:long,last:long>>, kept {'string' if as_text else 'binary'}")
+        giving_back(finish), f"row {row_type}, n_bytes long, n_removed long, removed array<struct<first:long,last:long>>, kept {'string' if as_text else 'binary'}")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, margin: int = MARGIN) -> DataFrame:

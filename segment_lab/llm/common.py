@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import inspect
 import uuid
 from collections.abc import Iterator
 
@@ -74,6 +77,49 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+_KEPT: dict = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What ``owner`` keeps between the tasks of a Python worker; another owner's things are dropped first.
+
+    Workers are reused by the stages of a job, so each holds the tables of
+    one operator only.
+    """
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = {}
+    return _KEPT[owner]
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system at the end of a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its own rules
+
+
+def giving_back(run):
+    """Wrap a batch function (of an iterator, or of tables) so that it ends with ``give_back``."""
+    if inspect.isgeneratorfunction(run):
+        @functools.wraps(run)
+        def wrapped(batches):
+            yield from run(batches)
+            give_back()
+    else:
+        @functools.wraps(run)
+        def wrapped(*tables):
+            out = run(*tables)
+            give_back()
+            return out
+        wrapped.__signature__ = inspect.signature(run)
+    return wrapped
+
+
 # ---------------------------------------------------------------- texts as bytes
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

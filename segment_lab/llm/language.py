@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizing import checked_collect
-from .common import fresh, utf8
+from .common import fresh, giving_back, utf8, worker_cache
 
 #: Labelled text that is learned for each language (the stated bounds of the training sample).
 SAMPLE_CHARS = 20_000
@@ -25,7 +25,7 @@ MAX_LANGUAGES = 1_000
 #: A longer text is parsed in blocks of this many symbols; no phrase runs over the end of a block.
 BLOCK = 16_384
 #: Texts walked together, in bytes.
-WALK_BYTES = 32 << 20
+WALK_BYTES = 8 << 20
 UNKNOWN = "und"
 #: The top two bits of a table entry: phrases that end with the step.
 PHRASE_SHIFT = np.uint32(30)
@@ -189,15 +189,13 @@ class Model:
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())], np.where(known, score, 0.0)
 
 
-_MODELS: dict[tuple, Model] = {}
-
-
 def model_of(samples: tuple[tuple[str, str], ...]) -> Model:
     """The model of a sample, built once in each Python worker."""
-    if samples not in _MODELS:
-        _MODELS.clear()
-        _MODELS[samples] = Model(dict(samples))
-    return _MODELS[samples]
+    cache = worker_cache("language")
+    if samples not in cache:
+        cache.clear()
+        cache[samples] = Model(dict(samples))
+    return cache[samples]
 
 
 # ---------------------------------------------------------------- operator
@@ -238,7 +236,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 lo = hi
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return source.mapInArrow(run, f"{schema}, `{lang_name}` string, `{score_name}` double")
+    return source.mapInArrow(giving_back(run), f"{schema}, `{lang_name}` string, `{score_name}` double")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

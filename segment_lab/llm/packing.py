@@ -16,23 +16,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8, width, written
+from .common import chunks, giving_back, utf8, width, worker_cache, written
 
-#: Words whose ids a worker remembers (a memory bound; results do not depend on it).
-REMEMBERED_WORDS = 1_000_000
-_TOKENIZERS: dict[str, tuple] = {}
+#: Words whose ids a worker remembers, twice over (a memory bound; results do not depend on it).
+REMEMBERED_WORDS = 250_000
 
 
 # ---------------------------------------------------------------- tokens
 
-def _word_ids(path: str):
-    """The tokenizer of a file and the ids already known by word."""
-    if path not in _TOKENIZERS:
+class Words:
+    """The tokenizer of a file and the ids of words seen lately.
+
+    When the young words are too many they become the old ones, and the old
+    ones that were not asked for since are forgotten.
+    """
+
+    def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+
+    def know(self, words: set[str]) -> dict[str, bytes]:
+        new = words.difference(self.young)
+        if len(self.young) + len(new) > REMEMBERED_WORDS:
+            self.young, self.old, new = {}, self.young, words
+        again = new.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in again)
+        if new := new - again - {""}:
+            _learn(self.tokenizer, sorted(new), self.young)
+        self.young[""] = b""
+        return self.young
 
 
 def _learn(tokenizer, words: list[str], known: dict[str, bytes]) -> None:
@@ -54,15 +68,11 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     The tokenizer drops white space and never joins across it, so a text's
     ids are those of its words; words are encoded once and remembered.
     """
-    tokenizer, known = _word_ids(path)
+    cache = worker_cache("packing")
+    if path not in cache:
+        cache[path] = Words(path)
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = set().union(*split).difference(known) - {""}
-    if len(known) + len(new) > REMEMBERED_WORDS:
-        known.clear()
-        new = set().union(*split) - {""}
-    if new:
-        _learn(tokenizer, sorted(new), known)
-    known[""] = b""
+    known = cache[path].know(set().union(*split))
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -98,7 +108,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, id_col: str = "do
 
     kind = source.schema["id"].dataType.simpleString()
     more = ", ids binary" if keep_ids else ""
-    return source.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long{more}") \
+    return source.mapInArrow(giving_back(run), f"id {kind}, piece int, start long, length long, ids_crc32 long{more}") \
         .withColumnRenamed("id", id_col)
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SEPARATOR, chunks, hash_spans, mix, prefix_hashes, utf8, words_of
+from .common import IS_SEPARATOR, chunks, giving_back, hash_spans, mix, prefix_hashes, utf8, words_of
 from .substrings import window_hashes
 
 #: Bounds of the labelled sample that fits the field: documents, and lines of each.
@@ -239,4 +239,4 @@ def judge(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
 
     kind = source.schema["id"].dataType.simpleString()
     longs = ", ".join(f"{c} long" for c in names)
-    return source.mapInArrow(run, f"id {kind}, {longs}, base_failed boolean, kept boolean, content_words long").withColumnRenamed("id", id_col)
+    return source.mapInArrow(giving_back(run), f"id {kind}, {longs}, base_failed boolean, kept boolean, content_words long").withColumnRenamed("id", id_col)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, utf8, words_of, written
+from .common import chunks, fresh, giving_back, utf8, words_of, worker_cache, written
 from .graph import components
 from .xxh import xxh64_slices
 
@@ -101,17 +101,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                              ["id", "fp", "text_key"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, fp long, text_key long")
+    return source.mapInArrow(giving_back(run), f"id {kind}, fp long, text_key long")
 
 
 # ---------------------------------------------------------------- Golay keys
 
-_DECODE: list[np.ndarray] = []
-
-
 def golay_index() -> np.ndarray:
     """Index (its 12 data bits) of the one codeword within three bits of each 23-bit word."""
-    if not _DECODE:
+    cache = worker_cache("golay")
+    if "index" not in cache:
         data = np.arange(4096, dtype=np.int64)
         code = np.zeros(4096, np.int64)
         for k in range(12):
@@ -122,8 +120,8 @@ def golay_index() -> np.ndarray:
                   *(a | b | c for i, a in enumerate(one) for j, b in enumerate(one[:i]) for c in one[:j])]
         for e in errors:
             table[code ^ e] = data
-        _DECODE.append(table)
-    return _DECODE[0]
+        cache["index"] = table
+    return cache["index"]
 
 
 def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +181,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             at, keys = golay_keys(fp.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[at])], ["key", "fp"])
 
-    keys = fps.select("fp").mapInArrow(key_rows, "key long, fp long")
+    keys = fps.select("fp").mapInArrow(giving_back(key_rows), "key long, fp long")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sized = written(keys.join(sizes, "key"), "golay_keys")
 
@@ -196,7 +194,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                                               pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
     small = sized.where(f"n <= {SMALL_BUCKET}").groupBy("key").agg(F.collect_list("fp").alias("fps")) \
-        .select("fps").mapInArrow(compare, "a long, b long")
+        .select("fps").mapInArrow(giving_back(compare), "a long, b long")
 
     def around(batches):
         flips = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
@@ -205,9 +203,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             word = (fp.view(np.uint64)[:, None] ^ flips).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(word.ravel()), pa.array(np.repeat(fp, 65))], ["word", "fp"])
 
-    crowded = sized.where(f"n > {SMALL_BUCKET}").select("fp").distinct().mapInArrow(around, "word long, fp long") \
+    crowded = sized.where(f"n > {SMALL_BUCKET}").select("fp").distinct().mapInArrow(giving_back(around), "word long, fp long") \
         .groupBy("word").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps") \
-        .mapInArrow(compare, "a long, b long")
+        .mapInArrow(giving_back(compare), "a long, b long")
     return small.union(crowded)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import BASE, chunks, hash_spans, mix, prefix_hashes, utf8, width, words_of
+from .common import BASE, chunks, giving_back, hash_spans, mix, prefix_hashes, utf8, width, words_of
 
 
 def window_hashes(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,10 +181,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         gone = np.cumsum(covered[:-1]) > 0
         return kept_rows(texts.column("id"), data, starts, ends, counts, gone)
 
-    blocks = grouped.applyInArrow(send, "bucket int, batch int, hashes binary")
-    told = blocks.groupBy("bucket").applyInArrow(count, "batch int, hashes binary")
+    blocks = grouped.applyInArrow(giving_back(send), "bucket int, batch int, hashes binary")
+    told = blocks.groupBy("bucket").applyInArrow(giving_back(count), "batch int, hashes binary")
     out = grouped.cogroup(told.groupBy("batch")).applyInArrow(
-        cut_out, "id long, n_words long, n_removed long, removed array<struct<first:long,last:long>>, kept_text string")
+        giving_back(cut_out), "id long, n_words long, n_removed long, removed array<struct<first:long,last:long>>, kept_text string")
     return out.withColumnRenamed("id", id_col)
 
 
