@@ -114,31 +114,31 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, id_col: str = "do
 
 # ---------------------------------------------------------------- plan
 
-def _pair(count: np.ndarray, gap: int, taken: dict[int, int]) -> tuple[int, int] | None:
+def _pair(count: np.ndarray, gap: int) -> tuple[int, int] | None:
     """Two available lengths that sum to ``gap`` (the larger first, as large as can be)."""
-    for b in range(gap - 1, (gap - 1) // 2, -1):
-        c = gap - b
-        need = dict(taken)
-        need[b] = need.get(b, 0) + 1
-        need[c] = need.get(c, 0) + 1
-        if count[b] >= need[b] and count[c] >= need[c]:
-            return b, c
-    return None
+    b = np.arange(gap - 1, (gap - 1) // 2, -1)
+    fits = (count[b] > 0) & (count[gap - b] > (b == gap - b))
+    k = int(fits.argmax()) if len(fits) else 0
+    return (int(b[k]), int(gap - b[k])) if len(fits) and fits[k] else None
 
 
 def _complement(count: np.ndarray, a: int, gap: int) -> tuple[int, ...] | None:
     """One, two or three available lengths that fill the gap beside ``a`` exactly."""
-    if count[gap] > (gap == a):
-        return (gap,)
-    if found := _pair(count, gap, {a: 1}):
-        return found
-    for b in range(gap - 2, (gap - 1) // 3, -1):
-        if count[b] > (b == a):
-            taken = {a: 1}
-            taken[b] = taken.get(b, 0) + 1
-            if found := _pair(count, gap - b, taken):
-                return (b, *found)
-    return None
+    count[a] -= 1  # what is beside it cannot be the piece itself
+    found = None
+    if count[gap]:
+        found = (gap,)
+    elif not (found := _pair(count, gap)):
+        lengths = np.flatnonzero(count[(gap - 1) // 3 + 1:gap - 1])[::-1] + (gap - 1) // 3 + 1
+        for b in lengths.tolist():
+            count[b] -= 1
+            rest = _pair(count, gap - b)
+            count[b] += 1
+            if rest:
+                found = (b, *rest)
+                break
+    count[a] += 1
+    return found
 
 
 def plan_patterns(histogram: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
