@@ -9,6 +9,7 @@ finds its place from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import chunks, giving_back, utf8, width, worker_cache, written
 
 #: Words whose ids a worker remembers, twice over (a memory bound; results do not depend on it).
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 500_000
+#: Closing marks: after a letter they are always tokens of their own.
+CLOSING = ".,;:!?#*$%&"
 
 
 # ---------------------------------------------------------------- tokens
@@ -43,9 +46,20 @@ class Words:
             self.young, self.old, new = {}, self.young, words
         again = new.intersection(self.old)
         self.young.update((w, self.old[w]) for w in again)
-        if new := new - again - {""}:
-            _learn(self.tokenizer, sorted(new), self.young)
+        # case is dropped and closing marks are split off by the tokenizer itself:
+        # words that differ in these only are encoded once
+        parts = {}
+        for w in new - again - {""}:
+            stem = w.rstrip(CLOSING)
+            if not stem or not unicodedata.normalize("NFC", stem[-1]).lower()[-1].isalpha():
+                stem = w  # a mark after a mark would be part of it
+            parts[w] = (stem.lower() if stem.isascii() else stem, w[len(stem):])
+        stems = {x for pair in parts.values() for x in pair if x}.difference(self.young)
+        self.young.update((x, self.old[x]) for x in stems.intersection(self.old))
+        if stems := stems.difference(self.old):
+            _learn(self.tokenizer, sorted(stems), self.young)
         self.young[""] = b""
+        self.young.update((w, self.young[stem] + self.young[marks]) for w, (stem, marks) in parts.items())
         return self.young
 
 

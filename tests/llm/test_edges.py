@@ -546,3 +546,18 @@ def test_empty_tables(spark, nothing):
     assert mixing.mix(nothing, mixing.document_levels()).count() == 0
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_first(nothing).count() == 0
     assert licenses.scan(nothing).count() == 0
+
+
+# ---------------------------------------------------------------- words of the tokenizer
+
+def test_remembered_words_equal_whole_texts(monkeypatch):
+    """Random texts of letters, marks, digits and special tokens, with a memory of a few words."""
+    import random
+    from tokenizers import Tokenizer
+    fixed, rng = Tokenizer.from_file(vocabulary()), random.Random(9)
+    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 40)
+    letters = "aB'sé.,!?-#*<|>́İΣ1٣日  \n\t 'trevlmdẞŉक़가"
+    for _ in range(2000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) + rng.choice(["", "<|endoftext|>", " It's. "])
+        want = np.array(fixed.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert packing.token_bytes([text], vocabulary()) == [want], text
