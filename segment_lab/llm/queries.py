@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 @query()
 def op9_simhash(spark, sf_dir):
     """Near-duplicate components of all documents by SimHash and Golay keys."""
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "root")
 
 
 @query(r"""

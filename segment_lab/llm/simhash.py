@@ -213,9 +213,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3,
                     max_bits: int = MAX_BITS) -> DataFrame:
-    """``(<id_col>, fingerprint, component_id, text_key)``, one row per input row.
+    """``(<id_col>, fingerprint, component_id, text_key, root)``, one row per input row.
 
-    ``fingerprint`` is 16 lowercase hex digits; ``component_id`` is the
+    ``root`` is the smallest fingerprint of the component, which tells
+    components with one ``component_id`` apart.  ``fingerprint`` is 16 lowercase hex digits; ``component_id`` is the
     smallest id whose fingerprint can be reached over links of at most
     ``max_bits`` differing bits.  Null and wordless texts have fingerprint
     zero and are linked like any other.  Rows with a null id are linked too
@@ -229,10 +230,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left") \
         .select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.join(groups, "root").select("fp", "component_id")
+    label = named.join(groups, "root").select("fp", "component_id", "root")
     return prints.join(label, "fp").select(F.col("id").alias(id_col),
                                            F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                                           "component_id", "text_key")
+                                           "component_id", "text_key", "root")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3,
@@ -240,11 +241,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` with one row left of each group of near-duplicates.
 
     The row with the smallest id stays (of several with that id the one
-    with the smallest text key; of equal rows one).
+    with the smallest text key; of equal rows one).  Groups are told apart
+    by their root, as different ones may share a smallest id or have none.
     """
     found = near_duplicates(docs, id_col, text_col, ngram, max_bits)
     missing = F.col(id_col).isNull()
-    best = found.groupBy("component_id").agg(F.min(F.struct(missing.alias("none"), F.col(id_col).alias("id"), "text_key")).alias("w"))
+    best = found.groupBy("root").agg(F.min(F.struct(missing.alias("none"), F.col(id_col).alias("id"), "text_key")).alias("w"))
     # an id is compared by its text so that a null id finds itself
     id_key, text_key = fresh(docs, "_id", "_key")
     named = best.select(F.coalesce(F.col("w.id").cast("string"), F.lit("")).alias(id_key), F.col("w.text_key").alias(text_key))

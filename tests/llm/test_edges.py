@@ -472,6 +472,13 @@ def test_simhash(edge):
     assert kept.count() == len({(c, None if c is not None else k) for k, c in enumerate(linked(prints, [i for i, _ in data]))})
 
 
+def test_unrelated_texts_of_one_id_all_stay(spark):
+    texts = [" ".join(f"{x}{k}" for k in range(40)) for x in "abcd"]
+    docs = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[3])],
+                                 "doc_id long, text string")
+    assert bag(rows_of(simhash.keep_first(docs))) == bag([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3])])
+
+
 def test_links_of_crowded_buckets(spark, monkeypatch):
     from segment_lab.llm.graph import components
     rng = np.random.default_rng(6)
