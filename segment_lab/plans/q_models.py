@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,12 +163,22 @@ def kmeans_clusters(spark, d):
     return A.agreement_scores(A.contingency(out, "label", "cluster"))
 
 
+def _scaled_pca(df, cols_or_vec, keep=0.99):
+    """Scale, then keep the components that hold ``keep`` of the variance."""
+    if isinstance(cols_or_vec, list):
+        df = VectorAssembler(inputCols=cols_or_vec, outputCol="__raw", handleInvalid="skip").transform(df)
+        cols_or_vec = "__raw"
+    scaled = StandardScaler(inputCol=cols_or_vec, outputCol="__scaled", withMean=True, withStd=True).fit(df).transform(df)
+    out, k, _ = R.pca_variance(scaled, "__scaled", keep, "pca")
+    return out.drop(cols_or_vec, "__scaled"), k
+
+
 @query("gmm_clusters")
 def gmm_clusters(spark, d):
-    """Gaussian mixture on the 2-D PCA projection; agreement scores."""
-    proj, _ = R.pca_2d(_emb(spark, d), "features")
+    """Gaussian mixture on 99 % of the variance of the scaled embeddings; agreement scores."""
+    proj, _ = _scaled_pca(_emb(spark, d), "features")
     k = proj.select("label").distinct().count()
-    out, _ = CL.gmm_clusters(proj, "xy", k, seed=SEED)
+    out, _ = CL.gmm_clusters(proj, "pca", k, seed=SEED)
     return A.agreement_scores(A.contingency(out, "label", "cluster"))
 
 

@@ -7,7 +7,6 @@ vector sums to one, that explanations add up to the margin.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ from ..sources.catalog import materialise, write_segments
 from . import fixtures as X
 from .fixtures import CLASSES_SQL
 from .q_basic import TEXT_SEG_SQL
-from .q_models import SEED, _emb, _h_sql, _logreg_model, _with
+from .q_models import SEED, _emb, _h_sql, _logreg_model, _scaled_pca, _with
 from .registry import query
 
 SEGMENT_FEATURES = ["mean_word_len", "std_word_len", "n_chars", "digit_share", "unique_ratio"]
@@ -34,16 +33,6 @@ GROUP_FOLD_SQL = f"""sl AS (SELECT s.doc_id, s.chunk, c.cls FROM segs s JOIN cla
   ft AS (SELECT doc_id, (CASE WHEN pos < 5 THEN pos ELSE 9 - pos END)::INTEGER AS fold FROM r)"""
 
 
-def _scaled_pca(df, cols_or_vec, keep=0.99):
-    """Scale, then keep the components that hold ``keep`` of the variance."""
-    if isinstance(cols_or_vec, list):
-        df = VectorAssembler(inputCols=cols_or_vec, outputCol="__raw", handleInvalid="skip").transform(df)
-        cols_or_vec = "__raw"
-    scaled = StandardScaler(inputCol=cols_or_vec, outputCol="__scaled", withMean=True, withStd=True).fit(df).transform(df)
-    out, k, _ = R.pca_variance(scaled, "__scaled", keep, "pca")
-    return out.drop(cols_or_vec, "__scaled"), k
-
-
 def _whole(scored):
     """Whether each row's probabilities sum to one."""
     total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)

@@ -104,3 +104,15 @@ def test_permutation_importance_signal_vs_constant(spark):
     assert imp == again             # donors are chosen by id, not by partition layout
     assert imp["b"] == 0.0          # a constant feature: permuting it changes nothing
     assert imp["a"] > 0.3           # the signal feature: permuting it breaks the prediction
+
+
+def test_gmm_query_fits_all_but_a_hundredth_of_the_variance(spark, small_dir, monkeypatch):
+    sizes, fit = [], CL.gmm_clusters
+
+    def watched(df, vec, k, **kw):
+        sizes.append(len(df.select(vec).first()[0]))
+        return fit(df, vec, k, **kw)
+    monkeypatch.setattr(CL, "gmm_clusters", watched)
+    assert QM.gmm_clusters(spark, small_dir).count() == 1
+    _, kept = QM._scaled_pca(QM._emb(spark, small_dir), "features")
+    assert sizes == [kept] and kept > 2
