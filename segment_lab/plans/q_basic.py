@@ -55,12 +55,6 @@ def feature_columns(spark, d):
     return li.select("l_orderkey", "l_linenumber", *numeric, *categorical)
 
 
-@query("file_catalog")
-def file_catalog(spark, d):
-    """List the table files (path, length) without reading contents."""
-    return S.file_catalog(spark, d, "*.parquet")
-
-
 @query("pending_items", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def pending_items(spark, d):
     """Documents not yet labelled."""

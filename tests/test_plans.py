@@ -63,3 +63,7 @@ def test_float_filter_reaches_the_scan(spark, small_dir):
     plan = E.queries()["shared_items"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.maxMetadataStringLength", old)
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(l_quantity", plan)
+
+
+def test_every_query_reads_a_given_table():
+    assert "file_catalog" not in E.queries()
