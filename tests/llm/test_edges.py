@@ -312,6 +312,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert bag((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
 
 
+def test_warc_round_trip_reads_each_kind_by_itself(spark, monkeypatch):
+    scans, read = [], warc.read_archive
+
+    def watched(*args, **kw):
+        scans.append(read(*args, **kw))
+        return scans[-1]
+    monkeypatch.setattr(warc, "read_archive", watched)
+    pages = spark.createDataFrame([(1, "u", "x" * 1000), (2, "u", "x" * 1000), (3, "u", "y")], "page_id long, url string, html string")
+    out = warc.round_trip(pages)
+    assert sorted((r.page_id, r.record_type) for r in out.collect()) == [(1, "revisit"), (2, "response"), (3, "response")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(scans) == 2 and scans[1].where("payload is not null").count() == 0
+    # a predicate that the reader takes leaves no filter on the record type above the scan
+    assert not [x for x in plan.splitlines() if "Filter" in x and "record_type" in x and "= re" in x]
+
+
+
 def test_warc_reader_skips_by_header(spark, tmp_path):
     import io
     rows = [{"record_id": f"<urn:x-record:{k}>", "record_type": "response" if k % 2 else "revisit", "target_uri": f"http://h/{k}", "date": warc.DATE,
