@@ -32,8 +32,10 @@ def edge_rows():
 
 
 @pytest.fixture(scope="session")
-def edge(spark):
-    return spark.createDataFrame(edge_rows(), SCHEMA).repartition(3).cache()
+def edge(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("tables") / "edge")
+    spark.createDataFrame(edge_rows(), SCHEMA).repartition(3).write.parquet(path)
+    return spark.read.schema(SCHEMA).parquet(path)
 
 
 @pytest.fixture(scope="session")
