@@ -21,9 +21,3 @@ def small_dir():
     if not os.path.isdir(SMALL):
         pytest.skip("test tables not present")
     return SMALL
-
-
-def rows(df, *cols):
-    """Collect selected columns as sorted tuples (small test results only)."""
-    sel = df.select(*cols) if cols else df
-    return sorted(tuple(r) for r in sel.collect())

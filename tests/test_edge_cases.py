@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from segment_lab.functions.columns import hour_label
 from segment_lab.operators import describe as D
 from segment_lab.operators import moments as M

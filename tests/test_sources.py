@@ -2,7 +2,7 @@
 import os
 import tempfile
 
-from conftest import rows
+from support import rows
 from segment_lab.sources.catalog import file_catalog, materialise, pending_items, write_segments
 from segment_lab.functions.columns import path_keys
 

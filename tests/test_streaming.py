@@ -1,7 +1,7 @@
 """The append stream under availableNow equals the batch restricted to closed windows."""
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 
 
 def test_stream_equals_closed_batch_windows(spark, small_dir):
