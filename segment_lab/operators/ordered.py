@@ -4,9 +4,10 @@ A plain ``Window.partitionBy(group).orderBy(order)`` sends every row of a group
 to one task; one hot group holding a third of the rows would then be sorted
 and scanned by a single task.  Instead:
 
-1. one pass over the order columns alone finds cut points that split all rows
-   into about ``n`` equal blocks, and a block number becomes an expression of
-   a row's own values (the same row always gets the same block);
+1. a seeded sample of the order columns, of a size set by ``n`` alone, gives cut
+   points that split all rows into about ``n`` equal blocks, and a block number
+   becomes an expression of a row's own values (the same row always gets the
+   same block);
 2. running sums are taken inside each ``(group, block)`` by a window, the only
    exchange of the rows;
 3. the sums of each ``(group, block)`` (aggregated before their shuffle) give
@@ -25,6 +26,9 @@ from pyspark.sql import types as T
 
 #: Leading bytes of a text that its block depends on (exact in a double).
 PREFIX_BYTES = 6
+#: Sampled rows a block, from which cut points are taken: blocks differ by about a sixth of their size.
+SAMPLE_ROWS = 40
+SEED = 11
 
 
 def _names(x) -> list[str]:
@@ -44,32 +48,40 @@ def _rank_value(df: DataFrame, col: str) -> Column:
     return c.cast("double")
 
 
+def sample_values(df: DataFrame, cols: list[Column], n: int) -> list[tuple]:
+    """The values of ``cols`` in about ``SAMPLE_ROWS`` rows a block, drawn row by row.
+
+    Its size depends on the number of blocks only, never on the rows or on
+    how often a value occurs, and no task reads more than its own part of
+    ``df``.  What is made of it are literals, so a task that runs again sees
+    the same ones.
+    """
+    total, bound = df.count(), SAMPLE_ROWS * n
+    picked = df.select(*[c.alias(f"v{k}") for k, c in enumerate(cols)])
+    if total > bound:
+        picked = picked.sample(fraction=bound / total, seed=SEED)
+    return [tuple(r) for r in picked.collect()]  # about ``bound`` rows
+
+
+def cut_points(values: list, n: int) -> list:
+    """At most ``n - 1`` values that split the sampled ones (nulls left out) into ``n`` parts, ascending."""
+    known = sorted(v for v in values if v is not None)
+    if not known or n < 2:
+        return []
+    return sorted({known[(k * len(known)) // n] for k in range(1, n)})
+
+
 def _cuts(df: DataFrame, order: list[str], n: int) -> list[tuple[float, float]]:
     """At most ``n - 1`` cut points (first, second order value), ascending.
 
-    A first value that many rows share is cut again by the second column.
+    They are values of a seeded sample; a first value that many rows share
+    is cut again by the second column, as the sample is ordered by both.
     """
-    low = float("-inf")
-    shares = [(k + 1) / n for k in range(n - 1)]
-    if not shares:
+    if n < 2:
         return []
-    first = _rank_value(df, order[0])
-    accuracy = max(10_000, 20 * n)
-    found = df.agg(F.percentile_approx(first, shares, accuracy)).first()[0] or []
-    times: dict[float, int] = {}
-    for v in found:
-        times[v] = times.get(v, 0) + 1
-    heavy = [v for v, k in times.items() if k > 1]
-    cuts = [(v, low) for v in times]
-    if heavy and len(order) > 1:
-        second = _rank_value(df, order[1])
-        parts = df.select(first.alias("a"), second.alias("b")).where(F.col("a").isin(heavy)).groupBy("a") \
-            .agg(F.percentile_approx("b", shares, accuracy).alias("q")).collect()  # at most n / 2 rows
-        for r in parts:
-            k = times[r["a"]]
-            picks = r["q"] or []
-            cuts += [(r["a"], b) for b in {picks[(j * len(picks)) // k] for j in range(1, k)} if b is not None] if picks else []
-    return sorted(set(cuts))
+    low = F.lit(float("-inf"))
+    keys = [F.nanvl(F.coalesce(_rank_value(df, c), low), F.lit(float("inf"))) for c in order[:2]]
+    return cut_points(sample_values(df, keys + [low] * (2 - len(keys)), n), n)
 
 
 def block(df: DataFrame, order: list[str], n: int) -> Column:

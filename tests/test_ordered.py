@@ -63,3 +63,15 @@ def test_salted_join_keeps_all_rows_and_spreads_a_hot_key(spark):
     small = spark.createDataFrame([("hot", 1.0), ("b", 2.0)], "k string, w double")
     got = salted_join(big, small, "k", "left", 6)
     assert got.count() == 3003 and got.where("w is null").count() == 2 and got.where("w = 1.0").count() == 3000
+
+
+def test_cut_points_come_from_a_bounded_sample(spark):
+    """Whatever the rows and ties, a few rows a block reach the driver, and blocks are about equal."""
+    from segment_lab.operators import ordered
+    df = spark.range(0, 60_000, 1, 40).select((F.col("id") % 3 == 0).cast("int").alias("hot"), F.col("id").alias("i"))
+    for order in (["i"], ["hot", "i"]):
+        keys = [F.col(c).cast("double") for c in order]
+        assert len(ordered.sample_values(df, keys, 64)) < 1.3 * 64 * ordered.SAMPLE_ROWS
+        sizes = [r[1] for r in df.groupBy(ordered.block(df, order, 64).alias("b")).count().collect()]
+        assert len(sizes) == 64 and max(sizes) < 2.2 * 60_000 / 64
+    assert ordered.cut_points([None, None], 8) == [] and ordered.cut_points([3, 3, None, 3], 8) == [3]
