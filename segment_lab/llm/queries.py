@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import byte_repeats, language, licenses, mixing, packing, quality, simhash, substrings, warc, winnowing
+from . import byte_repeats, curve, language, licenses, mixing, packing, quality, simhash, substrings, warc, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def query(sql: str | None = None):
@@ -138,3 +138,9 @@ def op5_suffixes(spark, sf_dir):
     """Bytes left of each document once every repeated 200-byte string is removed."""
     out = byte_repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op11_curve(spark, sf_dir):
+    """All documents as token pieces laid along a Hilbert curve of their vectors, in sequences of 1024 tokens."""
+    return curve.pack_along_curve(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))

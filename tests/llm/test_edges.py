@@ -475,18 +475,19 @@ def linked(prints, ids):
     for k, i in enumerate(ids):
         if i is not None:
             least[find(k)] = min(least.get(find(k), i), i)
-    return [least.get(find(k)) for k in range(len(prints))]
+    return [least.get(find(k)) for k in range(len(prints))], len({find(k) for k in range(len(prints))})
 
 
 def test_simhash(edge):
     data = rows_of(edge)
     prints = [simhash_of(t) for _, t in data]
-    want = bag((i, f"{p:016x}", c) for (i, _), p, c in zip(data, prints, linked(prints, [i for i, _ in data])))
+    least, groups = linked(prints, [i for i, _ in data])
+    want = bag((i, f"{p:016x}", c) for (i, _), p, c in zip(data, prints, least))
     got = simhash.near_duplicates(edge).collect()
     assert bag((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
     kept = simhash.keep_first(edge)
     assert kept.columns == edge.columns
-    assert kept.count() == len({(c, None if c is not None else k) for k, c in enumerate(linked(prints, [i for i, _ in data]))})
+    assert kept.count() == groups  # also where groups share a smallest id or have none
 
 
 def test_unrelated_texts_of_one_id_all_stay(spark):
@@ -504,7 +505,7 @@ def test_links_of_crowded_buckets(spark, monkeypatch):
                     | {int(x) for x in rng.integers(0, 2**62, 200)})
     prints = [signed(p & (2**64 - 1)) for p in prints]
     df = spark.createDataFrame([(p,) for p in prints], "fp long")
-    want = linked([p & (2**64 - 1) for p in prints], prints)
+    want, _ = linked([p & (2**64 - 1) for p in prints], prints)
     for limit in (2, 64, 10_000):
         monkeypatch.setattr(simhash, "SMALL_BUCKET", limit)
         root = {r.node: r.root for r in components(simhash.links(df)).collect()}
