@@ -77,6 +77,18 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_by_size(big: DataFrame, small: DataFrame, key: str, rows: str, total: int, share: int = 1000) -> DataFrame:
+    """Left join of ``big`` with ``small``, which has one row a key and in ``rows`` how many rows of ``big`` have it.
+
+    Keys that more than a ``share``-th of all ``total`` rows have are fewer
+    than ``share``; they are joined by broadcast, so the rows of one never
+    meet in one task.  All others are joined by a shuffle.
+    """
+    limit = max(1, total // share)
+    hot, cold = F.broadcast(small.where(F.col(rows) > limit)), small.where(F.col(rows) <= limit)
+    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
+
+
 # ---------------------------------------------------------------- memory of Python workers
 
 _KEPT: dict = {}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import byte_repeats, curve, language, licenses, mixing, packing, quality, simhash, substrings, warc, winnowing
+from . import byte_repeats, curve, language, licenses, mixing, packing, quality, simhash, substrings, survival, warc, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,43 @@ def op5_suffixes(spark, sf_dir):
 def op11_curve(spark, sf_dir):
     """All documents as token pieces laid along a Hilbert curve of their vectors, in sequences of 1024 tokens."""
     return curve.pack_along_curve(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query(r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+verdicts AS (
+  SELECT doc_id, part, CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT)
+         + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+         + 16 * CAST(coalesce(least < doc_id, least IS NOT NULL) AS INT) AS failed
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS least FROM words)),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+counts AS (
+  SELECT part, failed, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM verdicts LEFT JOIN marks USING (doc_id) GROUP BY part, failed),
+letters(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+perms AS (
+  SELECT v.l || w.l || x.l || y.l || z.l AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bits
+  FROM letters v, letters w, letters x, letters y, letters z
+  WHERE w.b <> v.b AND x.b NOT IN (v.b, w.b) AND y.b NOT IN (v.b, w.b, x.b) AND z.b NOT IN (v.b, w.b, x.b, y.b)),
+steps AS (
+  SELECT filter_order, CAST(s AS INT) AS step, bits[s] AS bit, CAST(coalesce(list_sum(bits[1:s - 1]), 0) AS INT) AS before
+  FROM perms, (SELECT unnest(range(1, 6)) AS s)),
+found AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN failed & (before + bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN failed & before = 0 AND failed & bit > 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN failed & before > 0 AND failed & bit > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN failed = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN failed & before = 0 AND failed & bit > 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN failed & before = 0 AND failed & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM found
+""")
+def op12_survival(spark, sf_dir):
+    """What five filters remove in each of their 120 orders, by language."""
+    return survival.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
