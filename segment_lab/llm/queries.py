@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import byte_repeats, curve, language, licenses, mixing, packing, quality, simhash, substrings, survival, warc, winnowing
+from . import byte_repeats, curve, language, licenses, mixing, packing, prefix_trie, quality, simhash, substrings, survival, warc, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,40 @@ FROM found
 def op12_survival(spark, sf_dir):
     """What five filters remove in each of their 120 orders, by language."""
     return survival.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (
+  SELECT c, count(*) AS n, c - c % 20 AS b, xor(list_reduce(
+      flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: [CAST(ord(s) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda a, o: CASE WHEN o >= 0 THEN xor(a, o) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(4294967295 AS BIGINT)),
+      4294967295) % 4 AS h
+  FROM t GROUP BY c),
+plan AS (SELECT s.*, least(s.h, coalesce(z.n, 0)) AS k, least(s.h, coalesce(z.n, 0)) + greatest(s.n - s.h, 0) AS len FROM sizes s LEFT JOIN sizes z ON z.c = s.b),
+built AS (
+  SELECT plan.c, p + 1 AS d, r, x FROM plan JOIN t ON t.c = plan.b AND p < h
+  UNION ALL SELECT plan.c, k + p - h + 1, r, x FROM plan JOIN t ON t.c = plan.c AND p >= h),
+pre AS (
+  SELECT c, d, len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda s: s <> '')) AS w,
+         md5(string_agg(md5(length(r) || ':' || r || x), '') OVER (PARTITION BY c ORDER BY d)) AS key FROM built
+  UNION ALL SELECT c, 0, 0, 'root' FROM plan),
+node AS (
+  SELECT key, d, min(c) AS conv, count(*) AS n, any_value(w) AS w, max(len) = d AS leaf,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len = d), '')) AS ends
+  FROM pre JOIN plan USING (c) GROUP BY key, d),
+parent AS (SELECT y.key, p.key AS up, z.conv FROM node y JOIN pre p ON p.c = y.conv AND p.d = y.d - 1 JOIN node z ON z.key = p.key),
+children AS (SELECT up AS key, count(*) AS n_children FROM parent GROUP BY up),
+below AS (
+  SELECT p.key, sum(CAST(y.leaf AS INT)) AS n_leaves, sum((y.n - 1) * y.w) AS saved
+  FROM node y JOIN pre p ON p.c = y.conv AND p.d <= y.d GROUP BY p.key)
+SELECT node.conv AS conv_id, CAST(node.d AS BIGINT) AS depth, parent.conv AS parent_conv_id, node.n AS n_convs,
+       coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM node LEFT JOIN parent USING (key) LEFT JOIN children USING (key) JOIN below USING (key)
+""")
+def op13_prefixes(spark, sf_dir):
+    """Every distinct prefix of all rebuilt conversations, with what sharing it saves."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))

@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(
 
 def test_all_operators_are_registered():
     names = [k for k in E.queries() if re.match(r"op\d+_", k)]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == [*range(1, 13)] and "pipeline" in E.queries()
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == [*range(1, 14)] and "pipeline" in E.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeated_bytes", "mixing", "packing"]
 
 
@@ -50,6 +50,6 @@ def test_pipeline_stages(spark, small_dir, tmp_path):
         before = after
 
 
-@pytest.mark.parametrize("name", ["op2_substrings", "op5_suffixes", "op6_warc", "op10_licenses", "op12_survival"])
+@pytest.mark.parametrize("name", ["op2_substrings", "op5_suffixes", "op6_warc", "op10_licenses", "op12_survival", "op13_prefixes"])
 def test_oracles_exist(name):
     assert name in E.oracle_sql()
