@@ -9,7 +9,6 @@ finds its place from its rank among the pieces of its length.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 
 import numpy as np
@@ -18,76 +17,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, giving_back, utf8, width, worker_cache, written
-
-#: Words whose ids a worker remembers, twice over (a memory bound; results do not depend on it).
-REMEMBERED_WORDS = 500_000
-#: Closing marks: after a letter they are always tokens of their own.
-CLOSING = ".,;:!?#*$%&"
-
+from .word_tokens import WordTokenizer, word_level
 
 # ---------------------------------------------------------------- tokens
 
-class Words:
-    """The tokenizer of a file and the ids of words seen lately.
-
-    When the young words are too many they become the old ones, and the old
-    ones that were not asked for since are forgotten.
-    """
-
-    def __init__(self, path: str):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
-
-    def know(self, words: set[str]) -> dict[str, bytes]:
-        new = words.difference(self.young)
-        if len(self.young) + len(new) > REMEMBERED_WORDS:
-            self.young, self.old, new = {}, self.young, words
-        again = new.intersection(self.old)
-        self.young.update((w, self.old[w]) for w in again)
-        # case is dropped and closing marks are split off by the tokenizer itself:
-        # words that differ in these only are encoded once
-        parts = {}
-        for w in new - again - {""}:
-            stem = w.rstrip(CLOSING)
-            if not stem or not unicodedata.normalize("NFC", stem[-1]).lower()[-1].isalpha():
-                stem = w  # a mark after a mark would be part of it
-            parts[w] = (stem.lower() if stem.isascii() else stem, w[len(stem):])
-        stems = {x for pair in parts.values() for x in pair if x}.difference(self.young)
-        self.young.update((x, self.old[x]) for x in stems.intersection(self.old))
-        if stems := stems.difference(self.old):
-            _learn(self.tokenizer, sorted(stems), self.young)
-        self.young[""] = b""
-        self.young.update((w, self.young[stem] + self.young[marks]) for w, (stem, marks) in parts.items())
-        return self.young
-
-
-def _learn(tokenizer, words: list[str], known: dict[str, bytes]) -> None:
-    """Ids of new words in one call: tokens are told apart by where they start."""
-    encoded = tokenizer.encode(" ".join(words), add_special_tokens=False)
-    ids = np.array(encoded.ids, "<u4")
-    starts = np.fromiter((s for s, _ in encoded.offsets), np.int64, len(ids))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    at = np.searchsorted(starts, np.cumsum(sizes + 1) - sizes - 1)
-    at = np.append(at, len(ids)).tolist()
-    raw = ids.tobytes()
-    for k, w in enumerate(words):
-        known[w] = raw[4 * at[k]:4 * at[k + 1]]
-
-
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, equal to encoding the whole text.
-
-    The tokenizer drops white space and never joins across it, so a text's
-    ids are those of its words; words are encoded once and remembered.
-    """
+def _tokenizer(path: str) -> WordTokenizer:
     cache = worker_cache("packing")
     if path not in cache:
-        cache[path] = Words(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    known = cache[path].know(set().union(*split))
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+        cache[path] = word_level(path)
+    return cache[path]
 
 
 def token_pieces(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text",
@@ -98,12 +36,14 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, id_col: str = "do
 
     def run(batches):
         for b in batches:
-            ids, column = b.column("id"), b.column("text")
-            _, offsets = utf8(column)
+            ids = b.column("id")
+            data, offsets = utf8(b.column("text"))
             for lo, hi in chunks(offsets):
                 row, piece, start, length, crc, body = [], [], [], [], [], []
-                for k, raw in enumerate(token_bytes([t or "" for t in column.slice(lo, hi - lo).to_pylist()], path), lo):
-                    raw += end
+                found, at = _tokenizer(path).encode(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                every, at = found.astype("<u4").tobytes(), at.tolist()
+                for k in range(lo, hi):
+                    raw = every[4 * at[k - lo]:4 * at[k - lo + 1]] + end
                     for p, s in enumerate(range(0, len(raw), 4 * size)):
                         part = raw[s:s + 4 * size]
                         row.append(k)
@@ -128,45 +68,77 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, id_col: str = "do
 
 # ---------------------------------------------------------------- plan
 
-def _pair(count: np.ndarray, gap: int) -> tuple[int, int] | None:
-    """Two available lengths that sum to ``gap`` (the larger first, as large as can be)."""
-    b = np.arange(gap - 1, (gap - 1) // 2, -1)
-    fits = (count[b] > 0) & (count[gap - b] > (b == gap - b))
-    k = int(fits.argmax()) if len(fits) else 0
-    return (int(b[k]), int(gap - b[k])) if len(fits) and fits[k] else None
-
-
-def _complement(count: np.ndarray, a: int, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that fill the gap beside ``a`` exactly."""
-    count[a] -= 1  # what is beside it cannot be the piece itself
-    found = None
-    if count[gap]:
-        found = (gap,)
-    elif not (found := _pair(count, gap)):
-        lengths = np.flatnonzero(count[(gap - 1) // 3 + 1:gap - 1])[::-1] + (gap - 1) // 3 + 1
-        for b in lengths.tolist():
-            count[b] -= 1
-            rest = _pair(count, gap - b)
-            count[b] += 1
-            if rest:
-                found = (b, *rest)
-                break
-    count[a] += 1
-    return found
+class LengthSums:
+    """Index of single, pair and triple sums of the lengths still available.
+
+    A sum leads to the pairs (by their larger length) and the triples (by one
+    length, the other two being a pair of what is left) that make it, the
+    largest length first.  Counts only fall, so an entry that lacks pieces
+    is dropped when it is met; a sum's entries are made when it is first
+    asked for.
+    """
+
+    def __init__(self, count: list[int]):
+        self.count, self.held = count, [0] * len(count)
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def _available(self, least: int, most: int, total: int | None = None) -> list[int]:
+        """Ascending lengths in a range that have pieces (and what they lack to ``total`` too)."""
+        return [x for x in range(least, most + 1) if self.count[x] and (total is None or self.count[total - x])]
+
+    def _free(self, x: int) -> int:
+        return self.count[x] - self.held[x]
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        if total not in self.pairs:
+            self.pairs[total] = self._available((total + 1) // 2, total - 1, total)
+        entries = self.pairs[total]
+        for at in range(len(entries) - 1, -1, -1):
+            b, c = entries[at], total - entries[at]
+            need = 2 if b == c else 1
+            if min(self.count[b], self.count[c]) < need:
+                del entries[at]
+            elif min(self._free(b), self._free(c)) >= need:
+                return b, c
+        return None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        if total not in self.triples:
+            self.triples[total] = self._available((total + 2) // 3, total - 2)
+        entries = self.triples[total]
+        for at in range(len(entries) - 1, -1, -1):
+            a = entries[at]
+            if self._free(a) > 0:
+                self.held[a] += 1
+                rest = self.pair(total - a)
+                self.held[a] -= 1
+                if rest:
+                    return a, *rest
+            if not self.count[a] or total - a in self.pairs and not self.pairs[total - a]:
+                del entries[at]
+        return None
+
+    def complement(self, piece: int, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that fill the gap beside a piece exactly."""
+        self.held[piece] += 1  # what is beside it cannot be the piece itself
+        found = (gap,) if self._free(gap) > 0 else self.pair(gap) or self.triple(gap)
+        self.held[piece] -= 1
+        return found
 
 
 def plan_patterns(histogram: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
     """Patterns ``({length: times in a sequence}, sequences)`` that use up the histogram."""
-    count = np.zeros(size + 1, np.int64)
+    count = [0] * (size + 1)
     for length, n in histogram.items():
         count[length] = n
-    plan = []
+    plan, sums = [], LengthSums(count)
 
     def use(lengths, times):
         pattern = {}
         for x in lengths:
             pattern[x] = pattern.get(x, 0) + 1
-        times = times or min(int(count[x]) // k for x, k in pattern.items())
+        times = times or min(count[x] // k for x, k in pattern.items())
         for x, k in pattern.items():
             count[x] -= k * times
         plan.append((pattern, times))
@@ -174,12 +146,12 @@ def plan_patterns(histogram: dict[int, int], size: int) -> list[tuple[dict[int,
     if count[size]:
         use([size], None)
     for a in range(size - 1, 0, -1):
-        while count[a] and (fill := _complement(count, a, size - a)):
+        while count[a] and (fill := sums.complement(a, size - a)):
             use([a, *fill], None)
     # best fit for the rest, longest first; open sequences are grouped by the gap they have left
     groups: dict[int, list[tuple[dict[int, int], int]]] = {}
     for a in range(size - 1, 0, -1):
-        while left := int(count[a]):
+        while left := count[a]:
             gap = min((g for g in groups if g >= a), default=None)
             if gap is None:
                 each = size // a

@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .common import IS_SEPARATOR, hash_spans, prefix_hashes, words_of
+from .common import IS_SEPARATOR, hash_spans, prefix_hashes
 
 #: log2 of the table's slots; at most half are used (a memory bound; ids do not depend on it).
 TABLE_BITS = 21
@@ -122,8 +122,13 @@ def spaced_words(data: np.ndarray, offsets: np.ndarray):
 
 
 def bare_words(data: np.ndarray, offsets: np.ndarray):
-    starts, ends, _ = words_of(data, offsets)
-    return starts, ends
+    """``spaced_words`` without their white space."""
+    starts, ends = spaced_words(data, offsets)
+    if not len(starts):
+        return starts, ends
+    solid = np.concatenate([[0], np.cumsum(~IS_SEPARATOR[data])])
+    size = solid[ends] - solid[starts]  # the white space of a word is in front
+    return (ends - size)[size > 0], ends[size > 0]
 
 
 class WordTokenizer:
@@ -131,11 +136,12 @@ class WordTokenizer:
 
     ``split`` finds the words of a chunk, ``learn`` gives the ids of new
     words ``(ids, how many each)``, ``whole`` those of one text whose words
-    can't be told by ASCII white space (``odd`` finds such texts).
+    can't be told by ASCII white space (``odd`` finds such texts).  With
+    ``fold`` words that differ in the case of A-Z are one.
     """
 
-    def __init__(self, split: Callable, learn: Callable, whole: Callable, odd: re.Pattern = ODD_SPACE):
-        self.split, self.learn, self.whole, self.odd, self.table = split, learn, whole, odd, IdTable()
+    def __init__(self, split: Callable, learn: Callable, whole: Callable, odd: re.Pattern, fold: bool = False):
+        self.split, self.learn, self.whole, self.odd, self.fold, self.table = split, learn, whole, odd, fold, IdTable()
 
     def _known(self, data, prefix, starts, ends) -> np.ndarray:
         h = hash_spans(prefix, starts, ends)
@@ -155,12 +161,15 @@ class WordTokenizer:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and their offsets."""
+        given = data
+        if self.fold:
+            data = np.where((data >= 65) & (data <= 90), data | 32, data)
         starts, ends = self.split(data, offsets)
         slot = self._known(data, prefix_hashes(data), starts, ends) if len(starts) else np.zeros(0, np.int64)
         n = self.table.n[slot].astype(np.int64)
         ids = gather(self.table.pool, self.table.at[slot], n)
         at = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, offsets)]
-        raw = data.tobytes()
+        raw = given.tobytes()
         odd = np.unique(np.searchsorted(offsets, [m.start() for m in self.odd.finditer(raw)], side="right") - 1)
         if not len(odd):
             return ids, at
@@ -200,4 +209,42 @@ def byte_level(path: str) -> WordTokenizer:
         begin[order] = after - n[order]
         return gather(ids, begin, n), n
 
-    return WordTokenizer(spaced_words, learn, ids_of)
+    return WordTokenizer(spaced_words, learn, ids_of, ODD_SPACE)
+
+
+#: Lower-case ASCII and two-byte Latin letters: one token sequence with one end, whatever stands around it.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def word_level(path: str) -> WordTokenizer:
+    """BPE with word ends that drops white space and case, and begins anew at a mark after a letter.
+
+    New words are encoded as one text.  Words of letters end at a token that
+    ends a word, and need no more than lower case before; the others are
+    told apart by a special token between them.  A text with the beginning
+    of a special token's name is encoded whole.
+    """
+    tokenizer, plain = load_tokenizer(path), load_tokenizer(path)
+    from tokenizers import normalizers, pre_tokenizers
+    plain.normalizer = normalizers.Lowercase()
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    mark, name = max((k, t.content) for k, t in tokenizer.get_added_tokens_decoder().items() if t.special)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[k for token, k in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def encoded(text: str, by=tokenizer) -> np.ndarray:
+        return np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def learn(words: list[bytes]):
+        simple = [LETTERS.fullmatch(w) is not None for w in words]
+        order = np.argsort(np.logical_not(simple), kind="stable")
+        ordered, k = [words[i].decode() for i in order.tolist()], sum(simple)
+        letters, others = encoded(" ".join(ordered[:k]), plain), encoded(name.join([*ordered[k:], ""]))
+        own = others == mark
+        after = np.concatenate([np.flatnonzero(ends[letters]) + 1, len(letters) + np.flatnonzero(own) - np.arange(own.sum())])
+        n, begin = np.empty((2, len(words)), np.int64)
+        n[order] = np.diff(after, prepend=0)
+        begin[order] = after - n[order]
+        return gather(np.concatenate([letters, others[~own]]), begin, n), n
+
+    return WordTokenizer(bare_words, learn, lambda text: encoded(text).tolist(), re.compile(re.escape(name[:2].encode())), fold=True)
