@@ -26,3 +26,9 @@ def uniform01(seed, *keys) -> Column:
     """U[0, 1) from the key columns and the seed."""
     h = seeded_hash(seed, *keys)
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(_TWO_32)
+
+
+def uniform52(seed, *keys) -> Column:
+    """U[0, 1) of 52 bits, for draws among more than 2^32 things."""
+    h = seeded_hash(seed, *keys)
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .neighbours import smote
 from .prep import mixed_pipeline, undersample
 
 
@@ -64,7 +65,7 @@ def oof_predictions(df: DataFrame, label: str, vec: str, id_col: str, fold: str
 
     ``prep="fold"`` fits the scaler inside each training fold (no leakage);
     ``"global"`` scales once on all rows before CV (the reference's segment
-    pipeline); ``"none"`` uses the features as given.  ``resample`` in {None, "under"} applies to training rows only.
+    pipeline); ``"none"`` uses the features as given.  ``resample`` in {None, "under", "smote"} applies to training rows only.
     The probability vector follows the sorted label order.  ``only_folds``
     restricts the loop to the given held-out folds.
     """
@@ -86,6 +87,8 @@ def oof_predictions(df: DataFrame, label: str, vec: str, id_col: str, fold: str
         test = base.filter(F.col("fold") == i)
         if resample == "under":
             train = undersample(train, "__y", "id", seed)
+        elif resample == "smote":
+            train = train.unionByName(smote(train, "__y", "__x", "id", seed=seed).select("__y", "__x"), allowMissingColumns=True)
         elif resample not in (None, "none"):
             raise ValueError(f"unsupported resample {resample!r}")
         # Iterative fits make many passes over the training rows: keep this

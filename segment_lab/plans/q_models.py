@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,7 @@ from ..operators import classify as L
 from ..operators import cluster as CL
 from ..operators import explain as EX
 from ..operators import folds as FO
+from ..operators import neighbours as N
 from ..operators import prep as P
 from ..operators import reduce as R
 from ..operators import scored as SC
@@ -101,6 +102,34 @@ def group_folds(spark, d):
     return FO.group_folds(s, "cls", "doc_id", 5, SEED)
 
 
+#: The neighbours of each embedding among those of its label, nearest first.
+KNN_SQL = """vecs AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+  knn AS (SELECT a.label, a.vec_id AS id, (row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id))::INTEGER AS rank,
+    b.vec_id AS neighbour, list_distance(a.x, b.x) AS distance FROM vecs a JOIN vecs b ON a.label = b.label AND a.vec_id <> b.vec_id)"""
+
+
+@query("class_knn", _with(KNN_SQL) + "SELECT id, rank, neighbour, distance FROM knn WHERE rank <= 5")
+def class_knn(spark, d):
+    """The five nearest embeddings of the same label."""
+    return N.class_knn(_emb(spark, d), "label", "features", "vec_id", 5)
+
+
+@query("smote", _with(KNN_SQL) + f"""sizes AS (SELECT label, count(*) AS n FROM vecs GROUP BY label),
+  k AS (SELECT least(5, min(n) - 1) AS k, max(n) AS most FROM sizes),
+  draws AS (SELECT label, n, unnest(range(most - n)) AS draw, k FROM sizes, k),
+  u AS (SELECT label, draw, k, floor(('0x' || substr(md5('{SEED}:pick:' || label || ':' || draw), 1, 13))::BIGINT / 4503599627370496.0 * n * k)::BIGINT AS pick,
+    ('0x' || substr(md5('{SEED}:gap:' || label || ':' || draw), 1, 13))::BIGINT / 4503599627370496.0 AS gap FROM draws),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place FROM vecs)
+  SELECT u.label, u.draw, p.vec_id AS base, knn.neighbour, u.gap, unnest(range(len(p.x)))::INTEGER AS dim,
+    unnest(list_transform(range(1, len(p.x) + 1), lambda i: p.x[i] + u.gap * (o.x[i] - p.x[i]))) AS value
+  FROM u JOIN placed p ON p.label = u.label AND p.place = u.pick // u.k JOIN knn ON knn.id = p.vec_id AND knn.rank = u.pick % u.k + 1
+  JOIN vecs o ON o.vec_id = knn.neighbour""".replace("sizes AS", ", sizes AS", 1))
+def smote(spark, d):
+    """synthetic embeddings that bring every label to the size of the largest, in long form."""
+    made = N.smote(_emb(spark, d), "label", "features", "vec_id", 5, SEED)
+    return made.select("label", "draw", "base", "neighbour", "gap", F.posexplode(vector_to_array("features")).alias("dim", "value"))
+
+
 # ----------------------------------------------------------- ML (rows-only) ---
 
 def _emb(spark, d):
@@ -150,7 +179,6 @@ def pca_variance(spark, d):
 def pca_2d(spark, d):
     """2-D projection of the embeddings."""
     proj, _ = R.pca_2d(_emb(spark, d), "features")
-    from pyspark.ml.functions import vector_to_array
     return proj.select("vec_id", "label", vector_to_array("xy").alias("xy"))
 
 
