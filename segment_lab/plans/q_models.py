@@ -16,7 +16,9 @@ from ..operators import neighbours as N
 from ..operators import prep as P
 from ..operators import reduce as R
 from ..operators import scored as SC
+from ..operators import ward as W
 from ..streaming import run_stream_segments
+from ..session import materialize
 from . import fixtures as X
 from .fixtures import CLASSES_SQL
 from .q_basic import LI_FEATS, TEXT_SEG_SQL
@@ -212,7 +214,36 @@ def gmm_clusters(spark, d):
 
 @query("ward_clusters")
 def ward_clusters(spark, d):
-    """Hierarchical clustering of all rows by repeated bisection; cluster sizes."""
+    """Agglomerative clustering by Ward's method with as many clusters as labels."""
+    e = _emb(spark, d)
+    k = e.select("label").distinct().count()
+    return W.ward_clusters(e, "features", "vec_id", k).select("vec_id", "label", "cluster")
+
+
+@query("ward_step", "SELECT TRUE AS nested, TRUE AS cheapest")
+def ward_step(spark, d):
+    """The last merge joins, of all pairs of clusters, the one of the smallest cost."""
+    e = _emb(spark, d).select("vec_id", "features")
+    k = X.table(spark, d, "embeddings").select("label").distinct().count()
+    fine = W.ward_clusters(e, "features", "vec_id", k + 1).withColumnRenamed("cluster", "fine")
+    both = W.ward_clusters(fine, "features", "vec_id", k).select("vec_id", "fine", "cluster", vector_to_array("features").alias("x"))
+    both = materialize(both)
+    pairs = both.select("fine", "cluster").distinct().collect()  # k + 1 rows if the clusters are nested
+    means = both.select("fine", F.posexplode("x").alias("pos", "v")).groupBy("fine", "pos").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    parts = means.groupBy("fine").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("c"), F.first("n").alias("n")).collect()  # k + 1 centres
+    cost = {(a["fine"], b["fine"]): a["n"] * b["n"] / (a["n"] + b["n"]) * sum((x["m"] - y["m"]) ** 2 for x, y in zip(a["c"], b["c"]))
+            for a in parts for b in parts if a["fine"] < b["fine"]}
+    groups = {}
+    for r in pairs:
+        groups.setdefault(r["cluster"], []).append(r["fine"])
+    merged = [tuple(sorted(v)) for v in groups.values() if len(v) > 1]
+    nested = len(pairs) == len(parts) == k + 1 and len(merged) == 1 and len(merged[0]) == 2
+    return spark.range(1).select(F.lit(nested).alias("nested"), F.lit(nested and min(cost, key=cost.get) == merged[0]).alias("cheapest"))
+
+
+@query("bisecting_clusters")
+def bisecting_clusters(spark, d):
+    """Hierarchical clustering of all rows by repeated bisection; cluster sizes."""
     e = _emb(spark, d)
     k = e.select("label").distinct().count()
     out, _ = CL.bisecting_clusters(e, "features", k, seed=SEED)

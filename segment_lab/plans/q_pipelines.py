@@ -17,6 +17,7 @@ from ..operators import explain as EX
 from ..operators import folds as FO
 from ..operators import reduce as R
 from ..operators import scored as SC
+from ..operators import ward as W
 from ..operators.segments import text_segments
 from ..session import materialize, scratch_path
 from ..sources.catalog import materialise, write_segments
@@ -81,11 +82,13 @@ def _clustered(spark, d):
 
 @query("cluster_pipeline")
 def cluster_pipeline(spark, d):
-    """KMeans and a Gaussian mixture on 99 % of the variance, judged against the labels."""
+    """KMeans, a Gaussian mixture and Ward merging on 99 % of the variance, judged against the labels."""
     e, k = _clustered(spark, d)
     parts = []
-    for name, fit in (("kmeans", CL.kmeans_clusters), ("gmm", CL.gmm_clusters)):
-        out, _ = fit(e, "pca", k, seed=SEED)
+    fits = {"kmeans": lambda: CL.kmeans_clusters(e, "pca", k, seed=SEED)[0], "gmm": lambda: CL.gmm_clusters(e, "pca", k, seed=SEED)[0],
+            "ward": lambda: W.ward_clusters(e, "pca", "vec_id", k)}
+    for name, fit in fits.items():
+        out = fit()
         out = materialize(out.select("vec_id", "label", "pca", "cluster"))
         cont = materialize(A.contingency(out, "label", "cluster"))
         score = A.agreement_scores(cont)
@@ -94,7 +97,7 @@ def cluster_pipeline(spark, d):
         sil = CL.silhouette_sq(out.withColumn("c", F.col("cluster").cast("double")), "pca", "c")
         own = spark.range(1).select(F.lit("silhouette").alias("measure"), F.nanvl(F.lit(sil), F.lit(None).cast("double")).alias("value"))
         parts.append(long.union(purity).union(own).withColumn("method", F.lit(name)))
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("aligned_report")
