@@ -240,6 +240,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text has a language; null texts and texts without a letter go."""
+    """The rows whose text has a language, with the language found in place of the given one.
+
+    Null texts and texts without a letter go, as do all if nothing could be
+    learned.
+    """
     found = identify(docs, id_col, text_col, lang_col, carry=True)
-    return found.where(F.col(fresh(docs, "_text", "lang_pred")[1]) != UNKNOWN).select(*docs.columns)
+    predicted = F.col(fresh(docs, "_text", "lang_pred")[1])
+    return found.where(predicted != UNKNOWN).withColumn(lang_col, predicted).select(*docs.columns)

@@ -5,8 +5,11 @@ import sys
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
 import corpus_pipeline
+from segment_lab.llm import mixing
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
 
@@ -53,3 +56,34 @@ def test_pipeline_stages(spark, small_dir, tmp_path):
 @pytest.mark.parametrize("name", ["op2_substrings", "op5_suffixes", "op6_warc", "op10_licenses", "op12_survival", "op13_prefixes"])
 def test_oracles_exist(name):
     assert name in E.oracle_sql()
+
+
+def test_a_mislabelled_row_moves_leaf(spark, small_dir):
+    """The language found, not the one given, is what the mixing stage groups by."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    wrong = docs.where("lang = 'de' AND length(text) > 400 AND pmod(crc32(cast(doc_id AS string)), 4) = 2").limit(3)  # not learned from
+    ids = [r.doc_id for r in wrong.select("doc_id").collect()]
+    assert ids
+    mislabelled = docs.withColumn("lang", F.when(F.col("doc_id").isin(ids), F.lit("en")).otherwise(F.col("lang")))
+    found = corpus_pipeline.identify_language(spark, mislabelled, small_dir)
+    assert found.columns == docs.columns
+    assert {r.lang for r in found.where(F.col("doc_id").isin(ids)).collect()} == {"de"}
+    leaf = {r.doc_id: r.language for r in found.select("doc_id", mixing.document_levels()["language"].alias("language")).collect()}
+    assert all(leaf[i] == "de" for i in ids)
+
+
+def test_stages_chained_over_edge_rows(spark, edge, nothing, small_dir, tmp_path):
+    """Null ids, clashing names, repeated rows and empty tables pass through all stages."""
+    for name, docs in (("edge", edge), ("nothing", nothing)):
+        columns, before = docs.columns, docs
+        for stage_name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / name / stage_name)
+            stage(spark, before, small_dir).write.parquet(path)
+            after = spark.read.parquet(path)
+            if stage_name == "language":
+                kept = before.where("text rlike '\\\\p{L}'").count() if name == "edge" else 0
+                assert after.count() == kept
+            if stage_name != "packing":
+                assert after.columns == columns, stage_name
+            before = after
+        assert (before.count() > 0) == (name == "edge")
