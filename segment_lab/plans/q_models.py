@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +17,7 @@ from ..operators import neighbours as N
 from ..operators import prep as P
 from ..operators import reduce as R
 from ..operators import scored as SC
+from ..operators import shapley as SH
 from ..operators import ward as W
 from ..streaming import run_stream_segments
 from ..session import materialize
@@ -25,6 +27,8 @@ from .q_basic import LI_FEATS, TEXT_SEG_SQL
 from .registry import query
 
 SEED = 1987
+#: Rows whose Shapley values are sampled (the feature: a bound on the work).
+SHAPLEY_ROWS = 20
 
 
 def _with(*ctes: str) -> str:
@@ -303,18 +307,44 @@ def permutation_importance(spark, d):
     """M7: permutation importance of each dimension for the last fold's forest
     (reference settings: 100 trees, depth cap, balanced weights), over all rows."""
     from pyspark.ml.feature import StringIndexer
-    e = _emb_folds(spark, d)
-    last = e.agg(F.max("fold")).first()[0]
-    _, models, labels = L.oof_predictions(e, "label", "features", "vec_id", model="rf", prep="none",
-                                          return_models=True, only_folds=[last])
-    rf = models[-1].stages[-1]
+    e = _emb(spark, d)
+    rf, _, names = _forest(spark, d)
     # same label order as the model: string labels indexed alphabetically
     rows = e.select("vec_id", F.col("label").cast("string").alias("__ys"), F.col("features").alias("__x"))
     idx = StringIndexer(inputCol="__ys", outputCol="__li", stringOrderType="alphabetAsc").fit(rows).transform(rows)
-    names = [f"d{j}" for j in range(rf.numFeatures)]
     return EX.permutation_importance(idx, rf, "__x", "__li", names, "vec_id", SEED)
 
 
+def _forest(spark, d):
+    """The last fold's forest (100 trees, balanced weights) with its labels and feature names."""
+    e = _emb_folds(spark, d)
+    last = e.agg(F.max("fold")).first()[0]
+    _, models, labels = L.oof_predictions(e, "label", "features", "vec_id", model="rf", prep="none", return_models=True, only_folds=[last])
+    forest = models[-1].stages[-1]
+    return forest, labels, [f"d{j}" for j in range(forest.numFeatures)]
+
+
+@query("forest_shapley")
+def forest_shapley(spark, d):
+    """M7: per class the five features of greatest mean |Shapley value| of the last fold's forest, over a sample of rows."""
+    forest, labels, names = _forest(spark, d)
+    rows = _emb(spark, d).withColumnRenamed("features", forest.getFeaturesCol())
+    values = SH.forest_shapley(rows, forest, forest.getFeaturesCol(), "vec_id", names, labels, sample_rows=SHAPLEY_ROWS, orders=8, seed=SEED)
+    mean = values.groupBy("cls", "feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
+    best = Window.partitionBy("cls").orderBy(F.desc("mean_abs_phi"), "feature")
+    return mean.withColumn("rank", F.row_number().over(best)).where("rank <= 5")
+
+
+@query("forest_shapley_additive", f"""SELECT vec_id AS id, cls, TRUE AS adds_up FROM (SELECT vec_id FROM embeddings ORDER BY {_h_sql(SEED, 'vec_id')}, vec_id LIMIT 20),
+  (SELECT DISTINCT label::VARCHAR AS cls FROM embeddings)""")
+def forest_shapley_additive(spark, d):
+    """M7: a row's Shapley values and the base add up to the forest's probability of the class."""
+    forest, labels, names = _forest(spark, d)
+    rows = _emb(spark, d).withColumnRenamed("features", forest.getFeaturesCol())
+    values = SH.forest_shapley(rows, forest, forest.getFeaturesCol(), "vec_id", names, labels, sample_rows=SHAPLEY_ROWS, orders=8, seed=SEED)
+    return values.groupBy("id", "cls").agg((F.abs(F.sum("phi") + F.first("base") - F.first("probability")) < 1e-9).alias("adds_up"))
+
+
 # --------------------------------------------------------------- streaming ---
 
 EVENTS_SCHEMA = T.StructType([
