@@ -19,7 +19,7 @@ from ..operators import reduce as R
 from ..operators import scored as SC
 from ..operators import shapley as SH
 from ..operators import ward as W
-from ..streaming import run_stream_segments
+from ..streaming import run_count_segments, run_stream_segments
 from ..session import materialize
 from . import fixtures as X
 from .fixtures import CLASSES_SQL
@@ -366,3 +366,10 @@ def stream_segments(spark, d):
     return out.select(F.date_format("window_start", fmt).alias("window_start"),
                       F.date_format("window_end", fmt).alias("window_end"),
                       "event_type", "n", "mean", "min", "max", "rms")
+
+
+@query("stream_count_segments", """SELECT user_id, chunk, count(*) AS n, avg(value) AS mean, min(value) AS min, max(value) AS max, sqrt(avg(value * value)) AS rms
+  FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 10 AS chunk FROM events) GROUP BY user_id, chunk HAVING count(*) = 10""")
+def stream_count_segments(spark, d):
+    """Segments of ten samples a user, counted over micro-batches with a state per user; the incomplete tail is dropped."""
+    return run_count_segments(spark, f"{d}/events.parquet", EVENTS_SCHEMA, "ts", ["ts", "event_id"], ["user_id"], 10, "counted")

@@ -44,3 +44,23 @@ def test_scratch_is_deleted(spark):
     assert os.path.exists(path.removeprefix("file:"))
     drop_scratch()
     assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_counted_segments_over_out_of_order_files(spark, small_dir, tmp_path):
+    """Four files of mixed times, several micro-batches: segments are those of the whole table in time order."""
+    from segment_lab.plans.q_models import EVENTS_SCHEMA
+    from segment_lab.streaming import run_count_segments
+    events = spark.read.parquet(f"{small_dir}/events.parquet")
+    events = events.withColumn("value", F.when(F.col("event_id") % 11 != 0, F.col("value")))  # some values are missing
+    folder = str(tmp_path / "events.parquet")
+    events.repartition(4, "event_id").write.parquet(folder)
+    want = {}
+    for r in events.orderBy("user_id", "ts", "event_id").collect():
+        want.setdefault(r["user_id"], []).append(r["value"])
+    for batches in (1, 3):
+        got = run_count_segments(spark, folder, EVENTS_SCHEMA, "ts", ["ts", "event_id"], ["user_id"], 7, "t", batches=batches).collect()
+        assert sorted((r["user_id"], r["chunk"]) for r in got) == sorted((u, k) for u, v in want.items() for k in range(len(v) // 7))
+        for r in got:
+            own = [x for x in want[r["user_id"]][7 * r["chunk"]:7 * r["chunk"] + 7] if x is not None]
+            assert r["n"] == 7 and (r["min"], r["max"]) == (min(own), max(own))
+            assert abs(r["mean"] - sum(own) / len(own)) < 1e-9 and abs(r["rms"] - (sum(x * x for x in own) / len(own)) ** 0.5) < 1e-9
