@@ -21,6 +21,7 @@ from ..operators import ward as W
 from ..operators.segments import text_segments
 from ..session import materialize, scratch_path
 from ..sources.catalog import materialise, write_segments
+from ..sources.incremental import extract, extracted
 from . import fixtures as X
 from .fixtures import CLASSES_SQL
 from .q_basic import TEXT_SEG_SQL
@@ -156,3 +157,39 @@ def sink_round_trip(spark, d):
     back = materialise(spark, out + "/table", lambda: spark.read.parquet(out + "/sink").groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), F.sum("chunk").alias("chunks")))
     return back
+
+
+@query("incremental_job", _with(TEXT_SEG_SQL) + """, n AS (SELECT d.doc_id, d.lang, count(s.chunk) AS n_segments,
+    ('0x' || substr(md5('batch:' || d.doc_id), 1, 8))::BIGINT % 4 AS batch FROM documents d LEFT JOIN segs s ON d.doc_id = s.doc_id GROUP BY ALL),
+  runs AS (SELECT 'first' AS run, doc_id, n_segments, CASE WHEN n_segments > 0 THEN 'success' ELSE 'error' END AS status FROM n WHERE lang = 'de'
+  UNION ALL SELECT 'again', doc_id, n_segments, CASE WHEN n_segments > 0 THEN 'exists' ELSE 'error' END FROM n WHERE lang = 'de'
+  UNION ALL SELECT 'resumed', doc_id, n_segments, CASE WHEN n_segments = 0 THEN 'error' WHEN lang = 'de' OR batch < 2 THEN 'exists' ELSE 'success' END FROM n)
+  SELECT *, (SELECT count(*) FROM segs) AS segments_stored FROM runs""")
+def incremental_job(spark, d):
+    """A job over one language, the same again, then over all documents, failing at its third batch and resumed."""
+    docs = X.table(spark, d, "documents").select("doc_id", "lang", "text")
+    root = scratch_path(spark, "incremental")
+    made = []
+
+    def build(items):
+        made.append(1)
+        return text_segments(items, "doc_id", "text", X.SEGMENT_WORDS, keep=["lang"]).select("doc_id", "lang", "chunk")
+
+    def failing(items):
+        if len(made) >= 3:
+            raise RuntimeError("the job was stopped")
+        return build(items)
+    german = docs.where("lang = 'de'")
+    runs = [extract(spark, german, "doc_id", build, root, "lang").withColumn("run", F.lit("first"))]
+    runs = [materialize(r) for r in runs]
+    made.clear()
+    runs.append(materialize(extract(spark, german, "doc_id", build, root, "lang").withColumn("run", F.lit("again"))))
+    made[:] = [1]  # two batches more
+    try:
+        extract(spark, docs, "doc_id", failing, root, "lang", batches=4)
+    except RuntimeError:
+        pass  # what was finished is kept
+    runs.append(extract(spark, docs, "doc_id", build, root, "lang", batches=4).withColumn("run", F.lit("resumed")))
+    out = runs[0].unionByName(runs[1]).unionByName(runs[2])
+    stored = extracted(spark, root).count()
+    return out.withColumn("segments_stored", F.lit(stored).cast("long"))

@@ -50,3 +50,43 @@ def test_csv_is_read_by_its_header(spark, tmp_path):
     bare = tmp_path / "bare.csv"
     bare.write_text("1,x\n2,y\n")
     assert rows(read_table(spark, str(bare), "a long, g string", fmt="csv", header=False)) == [(1, "x"), (2, "y")]
+
+
+def test_incremental_extraction(spark, tmp_path):
+    """A second run does nothing, a failed one resumes, errors are tried again, and no segment is stored twice."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from segment_lab.sources.incremental import extract, extracted
+    root = str(tmp_path / "job")
+    items = spark.createDataFrame([(i, f"g{i % 3}", i % 5) for i in range(40)], "item long, grp string, size int")
+    calls = []
+
+    def build(df, fail=False):
+        calls.append(df.count())
+        if fail and len(calls) > 2:
+            # a part of the step is written, then it breaks
+            df.limit(1).withColumn("chunk", F.lit(99)).withColumn("step", F.lit(3)).select("item", "grp", "chunk", "step") \
+                .write.mode("append").partitionBy("step", "grp").parquet(root + "/data")
+            raise RuntimeError("lost")
+        return df.where("size > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("size") - 1))).select("item", "grp", "chunk")
+    try:
+        extract(spark, items, "item", lambda df: build(df, True), root, "grp", batches=4)
+        raise AssertionError("it should have failed")
+    except RuntimeError:
+        pass
+    finished = sum(calls[:2])
+    calls.clear()
+    got = {r["item"]: (r["status"], r["n_segments"]) for r in extract(spark, items, "item", build, root, "grp", batches=4).collect()}
+    assert len(got) == 40 and all((s == "error") == (i % 5 == 0) and n == i % 5 for i, (s, n) in got.items())
+    assert 0 < sum(s == "exists" for s, _ in got.values()) <= finished
+    assert rows(extracted(spark, root), "item", "chunk") == sorted((i, c) for i in range(40) for c in range(i % 5))
+    good = items.where("size > 0")
+    calls.clear()
+    before = sorted(os.listdir(root + "/manifest"))
+    again = extract(spark, good, "item", build, root, "grp", batches=4)
+    assert {r["status"] for r in again.collect()} == {"exists"} and not calls and sorted(os.listdir(root + "/manifest")) == before
+    longer = items.withColumn("size", F.when(F.col("item") == 5, 2).otherwise(F.col("size")))
+    retried = {r["item"]: r["status"] for r in extract(spark, longer, "item", build, root, "grp").collect()}
+    assert retried[5] == "success" and retried[10] == "error" and retried[1] == "exists"
