@@ -13,6 +13,7 @@ from ..operators import classify as L
 from ..operators import cluster as CL
 from ..operators import explain as EX
 from ..operators import folds as FO
+from ..operators import mixture as MX
 from ..operators import neighbours as N
 from ..operators import prep as P
 from ..operators import reduce as R
@@ -216,6 +217,18 @@ def gmm_clusters(spark, d):
     return A.agreement_scores(A.contingency(out, "label", "cluster"))
 
 
+@query("gmm_fixed_point", "SELECT count(*) AS n_rows, TRUE AS weights_sum_to_one, TRUE AS settled FROM embeddings")
+def gmm_fixed_point(spark, d):
+    """Another round over all rows moves no parameter of the mixture."""
+    proj, _ = _scaled_pca(_emb(spark, d), "features")
+    proj = materialize(proj.select("vec_id", "label", "pca"))
+    model = MX.fit_mixture(proj, "pca", proj.select("label").distinct().count(), seed=SEED)
+    rows = proj.select(vector_to_array("pca").alias("x"))
+    settled = MX.moved(model, MX.one_round(rows, model, 1e-6)) < 1e-6
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(bool(abs(model.weights.sum() - 1) < 1e-9)).alias("weights_sum_to_one"),
+                    F.lit(bool(settled)).alias("settled"))
+
+
 @query("ward_clusters")
 def ward_clusters(spark, d):
     """Agglomerative clustering by Ward's method with as many clusters as labels."""

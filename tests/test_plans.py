@@ -10,7 +10,7 @@ from segment_lab.operators.ordered import running_sums
 # model fits run many jobs while building; their plans are covered elsewhere
 SKIP = {"logreg_oof", "rf_oof", "logreg_undersampled_auc", "oof_predictions", "kmeans_clusters",
         "gmm_clusters", "ward_clusters", "ward_step", "bisecting_clusters", "class_knn", "smote", "forest_shapley", "forest_shapley_additive", "coef_importance", "shap_linear", "permutation_importance",
-        "pca_variance", "pca_2d", "silhouette_sq", "stream_segments", "stream_count_segments", "incremental_job", "segment_pipeline", "segment_report",
+        "pca_variance", "pca_2d", "silhouette_sq", "stream_segments", "stream_count_segments", "incremental_job", "gmm_fixed_point", "segment_pipeline", "segment_report",
         "track_pipeline", "cluster_pipeline", "aligned_report", "kmeans_nearest", "impurity_importance",
         "shap_additive", "pca_total_variance", "sink_round_trip", "pipeline",
         *(k for k in E.queries() if re.match(r"op\d+_", k))}
