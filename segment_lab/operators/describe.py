@@ -91,6 +91,20 @@ def token_totals(counts: DataFrame, token: str = "token", n: str = "n") -> DataF
     return counts.groupBy(token).agg(F.sum(n).alias("n"))
 
 
+def token_sketches(df: DataFrame, by, col: str, sep: str = ",", lg_k: int = 14) -> DataFrame:
+    """A mergeable HyperLogLog sketch of the tokens of each group (A8): ``(<by>, sketch)``.
+
+    A sketch has a fixed size, is built before the shuffle, and can be stored;
+    its estimate is within about ``3 * 1.04 / sqrt(2 ** lg_k)`` of the truth.
+    """
+    return tokens(df, by, col, sep).groupBy(*_g(by)).agg(F.hll_sketch_agg("token", lg_k).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, by=None) -> DataFrame:
+    """Distinct tokens of coarser groups (all, without ``by``) from stored sketches, without reading the rows again."""
+    return sketches.groupBy(*(_g(by) if by else [])).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
+
+
 def token_distinct(counts: DataFrame, by) -> DataFrame:
     """Distinct tokens per group, from the per-group counts.
 

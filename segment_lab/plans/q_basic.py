@@ -13,6 +13,7 @@ from ..operators import segments as G
 from ..operators import timeline as W
 from ..sources import catalog as S
 from ..sources.tables import read_table
+from ..session import materialize
 from . import fixtures as X
 from .fixtures import (CLASSES_SQL, RATINGS_SQL, SIGNAL_SQL, TRACKS_SQL)
 from .registry import query
@@ -310,6 +311,20 @@ def token_distinct(spark, d):
     return D.token_distinct(_token_counts(spark, d), "lang")
 
 
+@query("distinct_sketches", _with(TOKENS_SQL) + """SELECT coalesce(lang, 'all') AS scope, count(DISTINCT token) AS n_distinct, TRUE AS within_bound
+  FROM tc GROUP BY GROUPING SETS ((lang), ())""")
+def distinct_sketches(spark, d):
+    """Stored sketches of each language, and of all merged from them, against the exact counts."""
+    sketches = materialize(D.token_sketches(X.table(spark, d, "documents"), "lang", "text", sep=" "))
+    guess = D.merged_distinct(sketches, "lang").withColumnRenamed("lang", "scope").unionByName(
+        D.merged_distinct(sketches).withColumn("scope", F.lit("all"))).withColumnRenamed("n_distinct", "guess")
+    counts = _token_counts(spark, d)
+    exact = D.token_distinct(counts, "lang").withColumnRenamed("lang", "scope").unionByName(
+        counts.select("token").distinct().agg(F.count(F.lit(1)).alias("n_distinct")).withColumn("scope", F.lit("all")))
+    bound = F.col("n_distinct") * (3 * 1.04 / 2 ** 7) + 1
+    return exact.join(guess, "scope").select("scope", "n_distinct", (F.abs(F.col("guess") - F.col("n_distinct")) <= bound).alias("within_bound"))
+
+
 @query("topk_tokens", _with(TOKENS_SQL) + """SELECT * FROM (SELECT lang, token, n,
   row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rank FROM tc) WHERE rank <= 150""")
 def topk_tokens(spark, d):

@@ -283,6 +283,21 @@ def silhouette_sq(spark, d):
     return spark.range(1).select(F.lit(s).alias("silhouette"))
 
 
+@query("silhouette_bars", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS xx FROM embeddings),
+  mu AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(v) AS m FROM
+    (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM e) GROUP BY label, pos) GROUP BY label),
+  cl AS (SELECT e.label, count(*) AS n, avg(xx) AS psi FROM e GROUP BY e.label),
+  d AS (SELECT e.vec_id, e.label, cl.label AS other, cl.n, e.xx + cl.psi - 2 * list_dot_product(e.x, mu.c) AS dist
+    FROM e, cl JOIN mu USING (label)),
+  ab AS (SELECT vec_id, label, max(CASE WHEN label = other THEN n END) AS n, max(CASE WHEN label = other THEN dist * n / greatest(n - 1, 1) END) AS a,
+    min(CASE WHEN label <> other THEN dist END) AS b FROM d GROUP BY vec_id, label),
+  s AS (SELECT label, vec_id, CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END AS silhouette FROM ab)
+  SELECT label AS cluster, row_number() OVER (PARTITION BY label ORDER BY silhouette, vec_id) AS place, vec_id AS id, silhouette FROM s""")
+def silhouette_bars(spark, d):
+    """The silhouette of every row of the label partition, ascending inside its cluster."""
+    return CL.silhouette_bars(_emb(spark, d), "features", "label", "vec_id")
+
+
 def _logreg_model(spark, d):
     """The last fold's logistic model (the one the explanations describe) and
     the rows in the model's own feature space (z-scored before CV, as in the

@@ -116,3 +116,20 @@ def test_gmm_query_fits_all_but_a_hundredth_of_the_variance(spark, small_dir, mo
     assert QM.gmm_clusters(spark, small_dir).count() == 1
     _, kept = QM._scaled_pca(QM._emb(spark, small_dir), "features")
     assert sizes == [kept] and kept > 2
+
+
+def test_silhouette_bars(spark):
+    """Bars ascend in each cluster, their mean is Spark's silhouette, lone rows have 0 and a single cluster has none."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 3 if i < 90 else 7, (rng.normal(size=3) + 2 * (i % 3)).tolist()) for i in range(91)]
+    df = spark.createDataFrame(rows, "id long, c int, a array<double>").withColumn("v", array_to_vector("a"))
+    bars = CL.silhouette_bars(df, "v", "c", "id").collect()
+    want = CL.silhouette_sq(df.withColumn("c", F.col("c").cast("double")), "v", "c")
+    assert len(bars) == 91 and abs(sum(r["silhouette"] for r in bars) / 91 - want) < 1e-9
+    for c in (0, 1, 2, 7):
+        own = sorted((r["place"], r["silhouette"]) for r in bars if r["cluster"] == c)
+        assert [p for p, _ in own] == list(range(1, len(own) + 1)) and [v for _, v in own] == sorted(v for _, v in own)
+    assert [r["silhouette"] for r in bars if r["cluster"] == 7] == [0.0]
+    assert {r["silhouette"] for r in CL.silhouette_bars(df.withColumn("c", F.lit(1)), "v", "c", "id").collect()} == {None}
