@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..operators.ordered import cut_points, sample_values
 from .common import BASE, chunks, giving_back, hash_spans, mix, prefix_hashes, utf8, width, words_of
 
 
@@ -84,9 +85,7 @@ def batches_by_id(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
     """``(batch, id, text)`` with batches of ascending id ranges; null ids come last."""
     n = 2 * width(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    shares = [(k + 1) / n for k in range(n - 1)]
-    cuts = ids.agg(F.percentile_approx("id", shares or [0.5], max(10_000, 20 * n)).alias("c")).first()["c"] or []
-    cuts = np.array(sorted(set(cuts)), np.int64)
+    cuts = np.array(cut_points([r[0] for r in sample_values(ids, [F.col("id")], n)], n), np.int64)
 
     @pandas_udf("int")
     def batch_of(x: pd.Series) -> pd.Series:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import cut_points, sample_values
 from .common import width
 
 K = 4
@@ -67,14 +68,14 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     ranges = 2 * width(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shares = [(k + 1) / ranges for k in range(ranges - 1)]
-    cuts = own.agg(F.percentile_approx("id", shares, max(10_000, 20 * ranges)).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    steps = ", ".join(str(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)) if cuts else "0"
-    array = f"array({', '.join(f'{c}L' for c in cuts)})" if cuts else "cast(array() AS array<bigint>)"
+    cuts = cut_points([r[0] for r in sample_values(own, [F.col("id")], ranges)], ranges)
+
     # binary search among the cuts: how many of them are smaller than the id
-    place = f"aggregate(array({steps}), 0, (n, s) -> if(n + s <= {len(cuts)} AND s > 0 AND get({array}, n + s - 1) < id, n + s, n))"
-    marked = own.withColumn("range", F.expr(place)).withColumn("key", F.xxhash64("text")).withColumn("copied", F.lit(False))
+    def further(at, step):
+        return F.when((at + step <= len(cuts)) & (F.get(F.lit(cuts), at + step - 1) < F.col("id")), at + step).otherwise(at)
+    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    place = F.aggregate(steps, F.lit(0), further) if cuts else F.lit(0)
+    marked = own.withColumn("range", place).withColumn("key", F.xxhash64("text")).withColumn("copied", F.lit(False))
     heads = marked.groupBy("range").agg(F.min(F.struct("id", "key")).alias("head"))
     around = Window.orderBy("range")  # over at most ``ranges`` rows
     back = Window.orderBy(F.desc("range"))
