@@ -86,7 +86,10 @@ def _cuts(df: DataFrame, order: list[str], n: int) -> list[tuple[float, float]]:
 
 def block(df: DataFrame, order: list[str], n: int) -> Column:
     """Number of cut points at or before a row: a binary search among them."""
-    cuts = _cuts(df, order, n)
+    return _block_of(df, order, _cuts(df, order, n))
+
+
+def _block_of(df: DataFrame, order: list[str], cuts: list[tuple[float, float]]) -> Column:
     if not cuts:
         return F.lit(0)
 
@@ -121,11 +124,14 @@ def running_sums(df: DataFrame, group, order, values: dict[str, Column],
     group, order = _names(group), _names(order)
     n = n_blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tmp = {name: f"__v_{i}" for i, name in enumerate(values)}
+    cuts = _cuts(df, order, n)
     keys = [f"__g_{i}" for i in range(len(group))] + ["__blk"]
     base = df.select("*", *[expr.alias(tmp[name]) for name, expr in values.items()],
-                     *[_group_key(df, g).alias(k) for g, k in zip(group, keys)], block(df, order, n).alias("__blk"))
+                     *[_group_key(df, g).alias(k) for g, k in zip(group, keys)], _block_of(df, order, cuts).alias("__blk"))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = base.select("*", *[F.sum(t).over(inside).alias(t + "_loc") for t in tmp.values()])
+    if not cuts:  # one block: nothing lies before it
+        return local.select(*[F.col(c) for c in df.columns], *[F.col(t + "_loc").alias(name) for name, t in tmp.items()])
     totals = base.groupBy(*keys).agg(*[F.sum(t).alias(t + "_tot") for t in tmp.values()])
     earlier = Window.partitionBy(*keys[:-1]).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, *[F.sum(t + "_tot").over(earlier).alias(t + "_off") for t in tmp.values()])
