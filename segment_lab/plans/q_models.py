@@ -109,6 +109,13 @@ def group_folds(spark, d):
     return FO.group_folds(s, "cls", "doc_id", 5, SEED)
 
 
+@query("balanced_group_folds")
+def balanced_group_folds(spark, d):
+    """L2: greedy balance; lines of one supplier never straddle folds, and return flags are shared evenly."""
+    lines = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    return FO.balanced_group_folds(lines, "l_returnflag", "l_suppkey", 5, SEED)
+
+
 #: The neighbours of each embedding among those of its label, nearest first.
 KNN_SQL = """vecs AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
   knn AS (SELECT a.label, a.vec_id AS id, (row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id))::INTEGER AS rank,
