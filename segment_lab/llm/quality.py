@@ -1,7 +1,8 @@
 """Quality rules: a linear-chain conditional random field labels lines as content or boilerplate.
 
 The field is fitted on a bounded sample of labelled documents (a line takes
-its document's label), with exact gradients from forward and backward sums.
+its document's label) and on splices of two of them with unlike labels, which
+teach it where labels change, with exact gradients from forward and backward sums.
 Viterbi decoding then labels the lines of every document; the share of words
 in content lines decides whether the document stays.
 """
@@ -145,47 +146,77 @@ class Field:
         return labels
 
 
-def fit_field(sequences: list[np.ndarray], labels: list[int], rounds: int = 200, penalty: float = 1e-3) -> Field:
-    """Maximum likelihood with a squared penalty, by Adam on exact gradients; ``labels`` holds one label per sequence."""
-    n, longest = len(sequences), max(map(len, sequences))
-    width = sequences[0].shape[1]
-    x, mask = np.zeros((n, longest, width)), np.zeros((n, longest), bool)
-    for k, s in enumerate(sequences):
-        x[k, :len(s)], mask[k, :len(s)] = s, True
-    gold = np.array(labels, float)
+def fit_field(sequences: list[np.ndarray], labels: list, rounds: int = 200, penalty: float = 1e-3) -> Field:
+    """Maximum likelihood with a squared penalty, by Adam on exact gradients.
+
+    ``labels`` holds a label per sequence, or an array of a label per line.
+    Sequences are walked together, longest first, so short ones cost their own lines only.
+    """
+    by = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
+    sizes = np.array([len(sequences[k]) for k in by])
+    x = np.concatenate([sequences[k] for k in by])
+    gold = np.concatenate([np.broadcast_to(np.asarray(labels[k]), len(sequences[k])) for k in by]).astype(int)
+    n, width = len(sizes), x.shape[1]
+    heads = np.r_[0, np.cumsum(sizes)[:-1]]
+    tails = heads + sizes - 1
+    owner = np.repeat(np.arange(n), sizes)
+    active = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes[0]))]  # sequences longer than t
+    later = np.ones(len(x), bool)
+    later[heads] = False
+    later = np.flatnonzero(later)
+    seen_moves = np.zeros((2, 2))
+    np.add.at(seen_moves, (gold[later - 1], gold[later]), 1)
     theta = np.zeros(width + 4)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    pairs = mask[:, 1:]
     for step in range(1, rounds + 1):
         emit, move = theta[:width], theta[width:].reshape(2, 2)
-        e = np.zeros((n, longest, 2))
-        e[:, :, 1] = x @ emit
-        ahead, back = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        ahead[:, 0] = e[:, 0]
-        for t in range(1, longest):
-            new = np.logaddexp(ahead[:, t - 1, 0, None] + move[0], ahead[:, t - 1, 1, None] + move[1]) + e[:, t]
-            ahead[:, t] = np.where(mask[:, t, None], new, ahead[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            come = e[:, t + 1] + back[:, t + 1]
-            new = np.logaddexp(come[:, 0, None] + move[:, 0], come[:, 1, None] + move[:, 1])
-            back[:, t] = np.where(mask[:, t + 1, None], new, 0)
-        z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        p1 = np.where(mask, np.exp(ahead[:, :, 1] + back[:, :, 1] - z[:, None]), 0)
+        e = np.zeros((len(x), 2))
+        e[:, 1] = x @ emit
+        ahead, back = e.copy(), np.zeros((len(x), 2))
+        for t in range(1, len(active)):
+            at = heads[:active[t]] + t
+            old = ahead[at - 1]
+            ahead[at] += np.logaddexp(old[:, 0, None] + move[0], old[:, 1, None] + move[1])
+        for t in range(len(active) - 1, 0, -1):
+            at = heads[:active[t]] + t
+            come = e[at] + back[at]
+            back[at - 1] = np.logaddexp(come[:, 0, None] + move[:, 0], come[:, 1, None] + move[:, 1])
+        z = np.logaddexp(ahead[tails, 0], ahead[tails, 1])[owner]
         grad = np.zeros_like(theta)
-        grad[:width] = np.einsum("nt,ntf->f", np.where(mask, gold[:, None], 0) - p1, x)
-        for i in (0, 1):
-            for j in (0, 1):
-                both = np.exp(ahead[:, :-1, i] + move[i, j] + e[:, 1:, j] + back[:, 1:, j] - z[:, None])
-                grad[width + 2 * i + j] = (pairs * ((i == j) * (gold[:, None] == i) - both)).sum()
+        grad[:width] = x.T @ (gold - np.exp(ahead[:, 1] + back[:, 1] - z))
+        both = np.exp(ahead[later - 1, :, None] + move + (e[later] + back[later])[:, None, :] - z[later, None, None])
+        grad[width:] = (seen_moves - both.sum(axis=0)).ravel()
         grad = grad / n - penalty * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad ** 2
         theta = theta + 0.1 * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.999 ** step)) + 1e-8)
     return Field(theta[:width], theta[width:].reshape(2, 2))
 
 
+FIRST, LAST = FEATURES.index("first"), FEATURES.index("last")
+
+
+def spliced(sequences: list[np.ndarray], bad: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sequences that change label: each document followed by one of the other label, as many as there are documents.
+
+    Partners are taken in turn, so all documents of the rarer label are used about equally often.
+    """
+    kinds = [[s for s, b in zip(sequences, bad) if b == label] for label in (0, 1)]
+    xs, labels, turn = [], [], [0, 0]
+    for s, b in zip(sequences, bad):
+        others = kinds[1 - b]
+        other = others[turn[b] % len(others)]
+        turn[b] += 1
+        x = np.concatenate([s, other])
+        x[:, [FIRST, LAST]] = 0
+        x[0, FIRST] = x[-1, LAST] = 1
+        xs.append(x)
+        labels.append(np.repeat([b, 1 - b], [len(s), len(other)]))
+    return xs, labels
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           sample_docs: int = SAMPLE_DOCS, seed: int = 11) -> Field | None:
-    """Fit on up to ``sample_docs`` labelled documents drawn by a seeded hash; None unless both labels occur."""
+    """Fit on up to ``sample_docs`` labelled documents drawn by a seeded hash and as many splices; None unless both labels occur."""
     place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / float(1 << 53)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null")
     total = marked.count()
@@ -205,7 +236,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     bad = [int(r["label"] == 0) for r in got]
     if len(set(bad)) < 2:
         return None
-    return fit_field([np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)).astype(np.float64) for r in got], bad)
+    whole = [np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)).astype(np.float64) for r in got]
+    mixed, turned = spliced(whole, bad)
+    return fit_field(whole + mixed, bad + turned)
 
 
 # ---------------------------------------------------------------- operator
