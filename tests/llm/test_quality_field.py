@@ -27,7 +27,7 @@ def test_the_fit_is_a_maximum():
     sizes = [1, 5, 3, 4, 2, 5, 1, 4]
     xs = [np.c_[np.ones(n), rng.normal(size=n)] for n in sizes]
     golds = [(rng.random(n) < 0.5).astype(int) for n in sizes]
-    field = quality.fit_field(xs, golds, rounds=1500, penalty=0.05)
+    field = quality.fit_field(xs, golds, penalty=0.05)
     best = log_likelihood(field, xs, golds, 0.05)
     for k in range(6):
         for step in (-0.02, 0.02):
