@@ -320,6 +320,24 @@ def _logreg_model(spark, d):
     return e, models[-1].stages[-1], labels
 
 
+@query("logreg_score_equations", f"""WITH f AS (SELECT label, embedding, (row_number() OVER (PARTITION BY label ORDER BY {_h_sql(SEED, 'vec_id')}, vec_id) - 1) % 5 AS fold FROM embeddings),
+  tr AS (SELECT * FROM f WHERE fold <> (SELECT max(fold) FROM f)),
+  w AS (SELECT label, (SELECT count(*) FROM tr)::DOUBLE / ((SELECT count(DISTINCT label) FROM tr) * count(*)) AS w FROM tr GROUP BY label),
+  x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS feature FROM tr
+        UNION ALL SELECT label, 1, -1 FROM tr)
+  SELECT label::VARCHAR AS label, feature::INTEGER AS feature, round(sum(v * w), 6) AS target, TRUE AS solved
+  FROM x JOIN w USING (label) GROUP BY ALL""")
+def logreg_score_equations(spark, d):
+    """L3: the class sums that the last fold's logistic model must reproduce, and whether it does (gradient of the mean loss within 1e-4)."""
+    folds = _emb_folds(spark, d)
+    last = folds.agg(F.max("fold")).first()[0]
+    _, models, labels = L.oof_predictions(folds, "label", "features", "vec_id", model="log", prep="none", return_models=True, only_folds=[last])
+    slot = F.array_position(F.lit(labels), F.col("label").cast("string")) - 1
+    train, _ = L.balanced(folds.where(F.col("fold") != last).withColumn("slot", slot), "slot", len(labels))
+    found = EX.score_equations(train, models[-1].stages[-1], labels)
+    return found.select("label", "feature", F.round("target", 6).alias("target"), (F.col("gap") <= 1e-4).alias("solved"))
+
+
 @query("coef_importance")
 def coef_importance(spark, d):
     """M5: top-5 coefficients by |value| per class (last fold's model)."""
