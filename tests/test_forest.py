@@ -71,3 +71,32 @@ def test_depth_rare_values_and_weights(spark):
     assert list(FR.ForestClassifier("v", "y", "w", trees=1, max_depth=1).fit(df).cuts[8]) == [0.0]
     with pytest.raises(ValueError, match="different weights"):
         FR.ForestClassifier("v", "y", "w").fit(df.withColumn("w", F.col("id").cast("double")))
+
+
+def test_forest_is_sent_some_trees_at_a_time(spark, monkeypatch):
+    """The driver reads and sends pieces of bounded bytes; the rows get the votes of all trees."""
+    from pyspark import SparkContext
+    sent, send = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: (sent.append(value), send(self, value))[1])
+    df, x, _ = table(spark, 600)
+    model = FR.ForestClassifier("v", "y", "w", trees=12, group_rows=100).fit(df)
+    assert not sent  # the fit leaves the trees where they grew
+    whole = sum(t.feature.nbytes + t.cut.nbytes + t.child.nbytes + t.shares.nbytes for t in model.trees)
+    monkeypatch.setattr(FR, "SENT_BYTES", whole // 4)
+    got = scores(model, df)
+    assert len(sent) > 3 and sum(map(len, sent)) == 12 and max(map(len, sent)) <= 4
+    votes, bins = np.zeros((600, model.numClasses)), FR._binned(x, model.cuts)
+    for tree in model.trees:
+        tree.add(bins, votes)
+    assert all(np.allclose(got[i][1], votes[i] / votes[i].sum(), rtol=0, atol=1e-12) for i in got)
+
+
+def test_trees_of_a_fold_go_once_its_rows_are_scored(spark, monkeypatch):
+    from segment_lab.operators import classify
+    alive, most = set(), []
+    grow, drop = FR.ForestModel.__init__, FR.ForestModel.drop
+    monkeypatch.setattr(FR.ForestModel, "__init__", lambda self, *a: (grow(self, *a), alive.add(id(self)), most.append(len(alive)))[0])
+    monkeypatch.setattr(FR.ForestModel, "drop", lambda self: (drop(self), alive.discard(id(self)))[0])
+    df, _, _ = table(spark, 300)
+    out = classify.oof_predictions(df.withColumn("fold", F.col("id") % 3), "y", "v", "id", model="rf").collect()
+    assert sorted(r["id"] for r in out) == list(range(300)) and most == [1, 1, 1] and not alive
