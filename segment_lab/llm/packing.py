@@ -17,15 +17,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, giving_back, utf8, width, worker_cache, written
-from .word_tokens import WordTokenizer, word_level
+from .word_tokens import TABLE_BITS, IdTable, WordTokenizer, word_level
+
+#: Words a worker remembers at most: half the slots of its table.
+REMEMBERED_WORDS = 1 << (TABLE_BITS - 1)
+
 
 # ---------------------------------------------------------------- tokens
 
 def _tokenizer(path: str) -> WordTokenizer:
     cache = worker_cache("packing")
-    if path not in cache:
-        cache[path] = word_level(path)
-    return cache[path]
+    if (path, REMEMBERED_WORDS) not in cache:
+        cache[path, REMEMBERED_WORDS] = word_level(path)
+        cache[path, REMEMBERED_WORDS].table = IdTable((2 * REMEMBERED_WORDS).bit_length() - 1)
+    return cache[path, REMEMBERED_WORDS]
+
+
+def token_bytes(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text, four bytes each."""
+    data, offsets = utf8(pa.array(texts, pa.string()))
+    ids, at = _tokenizer(path).encode(data[offsets[0]:offsets[-1]], offsets - offsets[0])
+    every, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
+    return [every[lo:hi] for lo, hi in zip(at, at[1:])]
 
 
 def token_pieces(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text",
